@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,17 @@ def spread(df: DataFrame) -> DataFrame:
     """Give Python-heavy work one task per core at least; inputs with enough splits are left as they are."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to its Python workers, once for each context, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_contextlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="contextlake-")) / "contextlake_package.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._contextlake_shipped = True
