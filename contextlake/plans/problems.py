@@ -99,7 +99,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _TREE + "SELECT node AS file_id, root AS root_file_id, depth AS tree_depth FROM r UNION ALL SELECT node, -1, -1 FROM n WHERE node NOT IN (SELECT node FROM r)",
         "p2_paths": _TREE + "SELECT node AS file_id, path FROM r UNION ALL SELECT node, NULL FROM n WHERE node NOT IN (SELECT node FROM r)",
-        "p2_descendants": _TREE + "SELECT file_id, node AS descendant_id, len(up) - at AS distance FROM (SELECT node, up, unnest(up) AS file_id, unnest(range(1, len(up) + 1)) AS at FROM r) WHERE file_id <> node",
+        "p2_descendants": _TREE + "SELECT file_id, node AS descendant_id, len(up) - pos AS distance FROM (SELECT node, up, unnest(up) AS file_id, unnest(range(1, len(up) + 1)) AS pos FROM r) WHERE file_id <> node",
         "p4_found": _FAULTS + "SELECT source_file_id, target_path, kind FROM g WHERE kind IS NOT NULL",
         "p4_report": _FAULTS + "SELECT kind, strftime(source_at, '%Y-%m') AS period, count(*) AS n FROM g WHERE kind IS NOT NULL GROUP BY 1, 2",
     }
