@@ -111,8 +111,8 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
             n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
             d AS (SELECT g, count(*) AS df FROM s GROUP BY 1),
-            o AS (SELECT s.chunk_id, g, n, row_number() OVER (PARTITION BY s.chunk_id ORDER BY df, g) AS at FROM s JOIN d USING (g) JOIN n USING (chunk_id)),
-            f AS (SELECT * FROM o WHERE at <= n - ceil(0.6 * n) + 1),
+            o AS (SELECT s.chunk_id, g, n, row_number() OVER (PARTITION BY s.chunk_id ORDER BY df, g) AS pos FROM s JOIN d USING (g) JOIN n USING (chunk_id)),
+            f AS (SELECT * FROM o WHERE pos <= n - ceil(0.6 * n) + 1),
             c AS (SELECT DISTINCT a.chunk_id AS p, b.chunk_id AS q FROM f a JOIN f b ON a.g = b.g AND a.chunk_id < b.chunk_id AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n)),
             m AS (SELECT p, q, count(*) AS m FROM c JOIN s x ON x.chunk_id = p JOIN s y ON y.chunk_id = q AND y.g = x.g GROUP BY 1, 2)
             SELECT p AS chunk_id_a, q AS chunk_id_b FROM m JOIN n a ON a.chunk_id = p JOIN n b ON b.chunk_id = q WHERE m >= 0.6 * (a.n + b.n - m)
