@@ -83,15 +83,15 @@ def best_two_fit(sizes: list[int], capacity: int) -> list[int]:
     return bins
 
 
-def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, n_items: int | None = None) -> DataFrame:
     """Rows (``id_col``, bin_id, piece, start_token, n_tokens), one for each item, or piece of an item over ``capacity``.
 
     An item over the capacity becomes full pieces and one rest; all others stay whole, as piece 0. Null sizes count
     as 0; items of size 0 take no room and stand in the first container of their shard. Items with a null id are
     packed like others. Repeated rows are packed as often as they come. The number of shards follows the number of
-    rows, which for a parquet input is read from its footers.
+    rows, ``n_items``; without it they are counted, which computes the sizes once more.
     """
-    shards = max(1, -(-sizes.count() // shard_items))
+    shards = max(1, -(-(sizes.count() if n_items is None else n_items) // shard_items))
     size = F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0).cast("bigint"))
     items = (
         sizes.select(F.col(id_col).alias("item"), size.alias("total"))
