@@ -258,7 +258,7 @@ class Engine:
         text, tokens, rows = "", 0, []
         if active:
             own = placed.filter(F.col("file_id") == active.file_id)
-            text, tokens, rows = self._section(assembly.prefix_fill(own, int(limit * assembly.ACTIVE_SHARE), ["start_line", "chunk_id"]).orderBy("start_line", "chunk_id"))
+            text, tokens, rows = self._section(assembly.prefix_fill_files(own, int(limit * assembly.ACTIVE_SHARE), "tokens").orderBy("start_line", "chunk_id"))
         if limit - tokens > assembly.LEAST_SPARE:
             recent = store.recent_files(store.known_accesses(self.table("access_log"), self.table("files")), 5)
             if active:

@@ -64,3 +64,24 @@ def term_frequency(text: Column, term: str) -> Column:
 def embedding_text(name: Column, kind: Column, content: Column, limit: int = 2000) -> Column:
     """What a chunk is embedded by: name, type in brackets and content, cut to ``limit`` characters by definition."""
     return F.substring(F.concat_ws(" ", F.when(name != "", name), F.concat(F.lit("["), kind, F.lit("]")), content), 1, limit)
+
+
+def byte_terms(query: Column) -> Column:
+    """The other tokenizer: words of letters and digits of any script and underscores, of two bytes or more."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(query, F.lit(""))), r"[^\p{L}\p{N}_]+", " "), " +")
+    return F.filter(words, lambda w: F.octet_length(w) >= 2)
+
+
+def estimate_tokens_bytes(text: Column, chars_per_token: float = CHARS_PER_TOKEN) -> Column:
+    """Tokens by the length in UTF-8 bytes; 0 for null and empty texts."""
+    return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / F.lit(float(chars_per_token))).cast("bigint")
+
+
+def quick_hash(text: Column) -> Column:
+    """A fast 64-bit hash in hex, for comparisons within one run of the engine; null for a null text."""
+    return F.when(text.isNotNull(), F.lpad(F.lower(F.hex(F.xxhash64(text))), 16, "0"))
+
+
+def iso_time(seconds: Column) -> Column:
+    """Seconds since 1970 as ``YYYY-MM-DDTHH:MM:SSZ``."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")

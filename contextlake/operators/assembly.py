@@ -14,6 +14,8 @@ LEAST_SPARE = 500
 ACTIVE_SHARE = 0.7
 TREE_DEPTH = 3
 RELATED_SCORE = 0.8
+#: Lines of the stretches that long files are summed up in.
+STRETCH_LINES = 256
 #: Fixed value: sections in the order of the output.
 SECTIONS = ("fixed", "associative", "spare", "short_term")
 
@@ -29,16 +31,31 @@ def spare_budget(budget: int, used: int, share: float = WEIGHTS["spare"]) -> int
     return left if left > LEAST_SPARE else 0
 
 
-def prefix_fill(items: DataFrame, budget: Column | int, order: list[str], tokens: str = "tokens", by: list[str] | None = None) -> DataFrame:
-    """The items, in order, up to the first that would exceed the budget; null and negative sizes count as 0.
+def prefix_fill(items: DataFrame, budget: Column | int, order: list[str], tokens: str = "tokens") -> DataFrame:
+    """The items of a short list, in order, up to the first that would exceed the budget.
 
-    ``by`` names the groups that are filled on their own; without it the items must be a short list.
+    Null and negative sizes count as 0.
     """
     size = F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0))
-    window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    window = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return items.withColumn("used", F.sum(size).over(window)).filter(F.col("used") <= budget)
 
 
+def prefix_fill_files(chunks: DataFrame, budget: int, tokens: str = "token_count") -> DataFrame:
+    """The same for all files at once: of each file_id its chunks by start_line and chunk_id, nulls first.
+
+    Files are summed up in stretches of ``STRETCH_LINES`` lines first; stretches that start beyond the budget go before
+    any window, so no task sees a long file as a whole.
+    """
+    size = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("bigint")
+    sized = chunks.filter("file_id is not null").withColumns({"size": size, "stretch": F.coalesce(F.floor(F.col("start_line") / STRETCH_LINES), F.lit(-(1 << 40)))})
+    before = Window.partitionBy("file_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sized.groupBy("file_id", "stretch").agg(F.sum("size").alias("total")).withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    near = sized.join(starts.filter(F.col("base") <= budget).drop("total"), ["file_id", "stretch"])
+    within = Window.partitionBy("file_id", "stretch").orderBy(F.col("start_line").asc_nulls_first(), "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
+    return near.withColumn("used", F.col("base") + F.sum("size").over(within)).filter(F.col("used") <= budget).drop("size", "stretch", "base")
+
+
 def greedy_fill(items: DataFrame, budget: int, tokens: str = "tokens", rank: str = "rank") -> DataFrame:
     """The items, by rank, that still fit when their turn comes; what doesn't fit is skipped.
 

@@ -6,8 +6,8 @@ chain occupies consecutive places of a preorder walk, the descendants of a node
 
 Scale: everything a node needs from above or below is reached by pointer doubling, so a tree of depth d takes log2(d)
 rounds of joins on unique keys; a root path crosses at most log2(n) chains. Only paths, which the caller asks for on
-their own, are as long as the trees are deep. Children are combined to sums map-side before the shuffle; a parent's
-children are ranked by a window only to number them. Lineage is cut after each round.
+their own, are as long as the trees are deep. Children are combined to sums map-side before the shuffle, and numbered
+in parts, so a parent may have any number of them. Lineage is cut after each round.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from contextlake.session import cut
 
+#: Parts that the children of one parent are dealt to.
+SIBLING_PARTS = 1024
+
 
 def links(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """Rows (node, parent) of all nodes, parent null at the top; repeated pairs and pairs with a null end don't count."""
@@ -68,11 +71,9 @@ def chains(nodes: DataFrame) -> DataFrame:
     known = cut(rooted(nodes))
     trees = known.filter("root <> -1")
     sized = cut(trees.join(subtree_sizes(trees), "node"))
-    # Siblings by falling size: the first continues the chain; offset is the room that those before a child take.
-    order = Window.partitionBy("parent").orderBy(F.col("size").desc(), "node")
-    kids = sized.filter("parent is not null").select("node", "parent", "size", F.row_number().over(order).alias("rank"), (F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("offset"))
-    start = sized.join(kids.select("node", "rank", "offset"), "node", "left")
-    heavy = F.coalesce(F.col("rank") == 1, F.lit(False))
+    kids = sized.filter("parent is not null").select("node", "parent", "size")
+    start = sized.join(_offsets(kids), "node", "left")
+    heavy = F.coalesce("heavy", F.lit(False))
     step = cut(start.select("node", "parent", "root", "depth", "size", "offset", F.when(heavy, F.col("parent")).otherwise(F.col("node")).alias("head"), F.when(heavy, 1).otherwise(0).cast("bigint").alias("place")))
     step = _run_up(step, "head", "place")
     # first = offsets of all light links above, plus the places along the chains: doubled over the chains.
@@ -87,6 +88,24 @@ def chains(nodes: DataFrame) -> DataFrame:
     return placed.unionByName(lost)
 
 
+def _offsets(kids: DataFrame) -> DataFrame:
+    """Rows (node, heavy, offset) for ``kids`` (node, parent, size): whether a node is its parent's largest child, and
+    the room that the parent and the siblings before it take in the walk.
+
+    The largest child comes first, the smaller id of equal ones; the others follow in any order. So a parent's children
+    are dealt to ``SIBLING_PARTS`` parts and summed up within these; of a parent with any number of children one task
+    sees one part, or one sum for each part.
+    """
+    largest = kids.groupBy("parent").agg(F.max_by(F.struct(F.col("node").alias("first_child"), F.col("size").alias("first_size")), F.struct("size", -F.col("node"))).alias("x")).select("parent", "x.*")
+    every = kids.join(largest, "parent")
+    rest = every.filter("node <> first_child").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SIBLING_PARTS)))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rest.groupBy("parent", "part").agg(F.sum("size").alias("total")).withColumn("base", F.coalesce(F.sum("total").over(before("parent", "part")), F.lit(0)))
+    light = rest.withColumn("inside", F.coalesce(F.sum("size").over(before("parent", "part", "node")), F.lit(0))).join(parts.drop("total"), ["parent", "part"])
+    first = every.filter("node = first_child").select("node", F.lit(True).alias("heavy"), F.lit(1).cast("bigint").alias("offset"))
+    return first.unionByName(light.select("node", F.lit(False).alias("heavy"), (1 + F.col("first_size") + F.col("base") + F.col("inside")).alias("offset")))
+
+
 def _run_up(nodes: DataFrame, up: str, total: str) -> DataFrame:
     """Follow ``up`` until it points to a node that points to itself, adding ``total`` on the way, by doubling."""
     while True:

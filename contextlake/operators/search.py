@@ -41,7 +41,12 @@ def bm25_scores(corpus: DataFrame, terms: Sequence[str], text: str = "search_tex
     distinct = list(dict.fromkeys(terms))
     if not distinct:
         return corpus.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    counted = term_counts(corpus, distinct, text)
+    return score_counts(term_counts(corpus, distinct, text), terms, k1, b).select(*corpus.columns, "score")
+
+
+def score_counts(counted: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
+    """The rows that score above 0, from their counts (``dl``, and ``tf_i`` of the i-th distinct term)."""
+    distinct = list(dict.fromkeys(terms))
     stats = corpus_stats(counted, len(distinct))
     parts = []
     for i, term in enumerate(distinct):
@@ -50,7 +55,7 @@ def bm25_scores(corpus: DataFrame, terms: Sequence[str], text: str = "search_tex
         norm = tf + k1 * (1.0 - b + b * F.col("dl") / F.nullif(F.col("avgdl"), F.lit(0.0)))
         parts.append(terms.count(term) * F.when(tf > 0, idf * tf * (k1 + 1.0) / norm).otherwise(0.0))
     scored = counted.crossJoin(F.broadcast(stats)).withColumn("score", _total(parts))
-    return scored.filter("score > 0").select(*corpus.columns, "score")
+    return scored.filter("score > 0")
 
 
 def with_bonuses(scored: DataFrame, terms: Sequence[str], path: str = "path", name: str = "name") -> DataFrame:
@@ -67,16 +72,24 @@ def top(scored: DataFrame, k: int, tie: str = "chunk_id", score: str = "score")
     return scored.orderBy(F.col(score).desc(), tie).limit(max(0, k))
 
 
-def search(chunks: DataFrame, files: DataFrame, query: str, top_k: int = TOP_K, language: str | None = None) -> DataFrame:
+def search(chunks: DataFrame, files: DataFrame, query: str, top_k: int = TOP_K, language: str | None = None, prefetch_factor: int | None = None) -> DataFrame:
     """BM25 with bonuses over chunks (chunk_id, file_id, name, search_text) of known files (file_id, path, language).
 
-    A query without terms finds nothing; an unknown language has an empty corpus. The corpus is ranked without its
-    contents: join them to the result.
+    A query without terms finds nothing; an unknown language has an empty corpus. Rows that repeat a chunk_id count
+    once, by the least of each column. Texts are reduced to counts where they are read, so only these are shuffled, and
+    the statistics and the scores read the same shuffle. Contents are for the caller to join to the result. With a
+    ``prefetch_factor`` only so many times top_k of the best chunks without bonuses are ranked with them.
     """
     terms = query_terms(query)
+    if not terms:
+        return chunks.join(files.select("file_id", "path"), "file_id").select("chunk_id", "file_id", "path", "name", F.lit(0.0).alias("score")).filter(F.lit(False))
     known = files.filter(F.col("language") == language) if language is not None else files
-    corpus = chunks.select("chunk_id", "file_id", "name", "search_text").join(known.select("file_id", "path", "language"), "file_id")
-    scored = with_bonuses(bm25_scores(corpus, terms), terms)
+    distinct = list(dict.fromkeys(terms))
+    counted = term_counts(chunks.select("chunk_id", "file_id", "name", "search_text"), distinct)
+    once = counted.filter("chunk_id is not null").groupBy("chunk_id").agg(*[F.min(c).alias(c) for c in ["file_id", "name", "dl", *(f"tf_{i}" for i in range(len(distinct)))]])
+    corpus = once.join(known.select("file_id", "path", "language"), "file_id")
+    scored = score_counts(corpus, terms)
+    scored = with_bonuses(scored if prefetch_factor is None else top(scored, top_k * prefetch_factor), terms)
     return top(scored.select("chunk_id", "file_id", "path", "name", F.round("score", 6).alias("score")), top_k)
 
 

@@ -154,6 +154,25 @@ def query_tokenize(spark, folder):
     return log.select("access_id", F.array_join(T.term_column(F.col("query")), " ").alias("terms"))
 
 
+@query(_with("a AS (SELECT access_id, min(query) AS query FROM access_log WHERE access_id IS NOT NULL GROUP BY 1)") + r"SELECT access_id, array_to_string(list_filter(string_split(regexp_replace(lower(coalesce(query, '')), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda w: strlen(w) >= 2), ' ') AS terms FROM a")
+def query_tokenize_bytes(spark, folder):
+    log = table(spark, folder, "access_log").filter("access_id is not null").groupBy("access_id").agg(F.min("query").alias("query"))
+    return log.select("access_id", F.array_join(T.byte_terms(F.col("query")), " ").alias("terms"))
+
+
+@query("SELECT doc_id, CAST(ceil(strlen(coalesce(text, '')) / 3.5) AS BIGINT) AS tokens, strftime(make_timestamp(CAST(floor(epoch(created_at)) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS made FROM documents")
+def byte_tokens_and_times(spark, folder):
+    docs = table(spark, folder, "documents")
+    seconds = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 1_000_000)
+    return docs.select("doc_id", T.estimate_tokens_bytes(F.col("text")).alias("tokens"), T.iso_time(seconds).alias("made"))
+
+
+@query(_with(_CF, _CC, _LOG) + "SELECT chunk_id, file_id, start_line, name FROM cc WHERE file_id IN (SELECT file_id FROM al GROUP BY 1 ORDER BY count(*) DESC, file_id LIMIT 5)")
+def chunks_of_files(spark, folder):
+    wanted = store.most_accessed(_accesses(spark, folder)).select("file_id")
+    return _chunks(spark, folder, "file_id", "start_line", "name").join(F.broadcast(wanted), "file_id", "left_semi").select("chunk_id", "file_id", "start_line", "name")
+
+
 @query("SELECT doc_id, " + ", ".join(f"(length(d) - length(replace(d, '{t}', ''))) / {len(t)}.0e0 AS tf_{t}" for t in ("file", "index", "er")) + " FROM (SELECT doc_id, lower(coalesce(text, '')) AS d FROM documents)")
 def term_frequency(spark, folder):
     text = F.lower(F.coalesce("text", F.lit("")))
@@ -190,7 +209,7 @@ _FOUND = "SELECT chunk_id, file_id, path, name, score FROM "
 
 
 def _search(spark: SparkSession, folder: str, words: str, k: int = 10, language: str | None = None) -> DataFrame:
-    return search.search(_chunks(spark, folder, "file_id", "name", "search_text"), _files(spark, folder), words, k, language)
+    return search.search(table(spark, folder, "chunks"), _files(spark, folder), words, k, language)
 
 
 @query("SELECT doc_id, score FROM " + bm25_sql("SELECT doc_id, text AS search_text FROM documents", ["index", "filter", "warning"], "doc_id", 10))
@@ -220,6 +239,13 @@ def bm25_duplicate_terms(spark, folder):
     return _search(spark, folder, "token queue token")
 
 
+@query(_with(_CF, _CC, "top AS (SELECT c.chunk_id, path, c.name, b.score FROM " + bm25_sql(_CORPUS, TERMS, "chunk_id", 30) + " b JOIN (" + _CORPUS + ") c USING (chunk_id))") + "SELECT chunk_id, path, name, round(score" + "".join(f" * CASE WHEN contains(lower(coalesce({c}, '')), '{t}') THEN {x} ELSE 1e0 END" for t in TERMS for c, x in (("path", "1.3e0"), ("name", "1.5e0"))) + ", 4) AS score FROM top ORDER BY score DESC, chunk_id LIMIT 10")
+def bm25_prefetch(spark, folder):
+    """Bonuses for the thirty best without them only."""
+    hits = search.search(table(spark, folder, "chunks"), _files(spark, folder), WORDS, 10, prefetch_factor=3)
+    return hits.select("chunk_id", "path", "name", F.round("score", 4).alias("score"))
+
+
 @query(_with(_CC) + "SELECT chunk_id, name, token_count FROM cc WHERE lower(search_text) LIKE '%token%' AND lower(search_text) LIKE '%pl_n%' ORDER BY token_count NULLS FIRST, chunk_id LIMIT 10")
 def like_and_search(spark, folder):
     return search.like_all(_chunks(spark, folder, "name", "token_count", "search_text"), "Token pl_n").select("chunk_id", "name", "token_count")
@@ -509,9 +535,9 @@ _SIZED = "greatest(coalesce(token_count, 0), 0)"
 
 @query(_with(_CC, f"w AS (SELECT chunk_id, file_id, sum({_SIZED}) OVER (PARTITION BY file_id ORDER BY start_line NULLS FIRST, chunk_id ROWS UNBOUNDED PRECEDING) AS used FROM cc WHERE file_id IS NOT NULL)") + "SELECT chunk_id, file_id, CAST(used AS BIGINT) AS used FROM w WHERE used <= 8400")
 def active_file_prefix(spark, folder):
-    chunks = _chunks(spark, folder, "file_id", "start_line", "token_count").filter("file_id is not null")
+    chunks = _chunks(spark, folder, "file_id", "start_line", "token_count")
     limit = int(assembly.layer_budgets()["short_term"] * assembly.ACTIVE_SHARE)
-    return assembly.prefix_fill(chunks, limit, ["start_line", "chunk_id"], "token_count", ["file_id"]).select("chunk_id", "file_id", "used")
+    return assembly.prefix_fill_files(chunks, limit).select("chunk_id", "file_id", "used")
 
 
 _FIRST = "fc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line NULLS FIRST, chunk_id) AS rn FROM cc) WHERE rn = 1)"
