@@ -21,9 +21,11 @@ LIMIT_TOKENS = 500
 CHARS_PER_TOKEN = 3.5
 OVERLAP_LINES = 2
 #: The share of the limit that the overlap may take; longer lines overlap singly or not at all.
-OVERLAP_SHARE = 0.25
+OVERLAP_SHARE = 0.4
 #: The part of a text around its midpoint, to each side, in which a boundary may stand.
 NEAR = 0.25
+#: The strength from which on a boundary is a line's.
+LINE = 4
 
 PIECE_SCHEMA = "chunk_id bigint, piece bigint, content string, start_line bigint, end_line bigint, token_count bigint"
 
@@ -43,7 +45,7 @@ def _boundaries(text: str) -> tuple[list[int], list[int]]:
         at = match.end()
         before = text[max(0, at - 3) : at - 1].rstrip("\r")[-1:]
         after = text[at] if at < size else "\n"
-        rank = 4 + (before in ";}:") + (after not in " \t")
+        rank = LINE + (before in ";}:") + (after not in " \t")
         if before == "\n":
             rank = 7
         strength[at] = rank
@@ -69,13 +71,22 @@ def split_text(text: str, limit_tokens: int = LIMIT_TOKENS, overlap_lines: int =
                 return lines[at - n]
         return start
 
+    def nearest(sorted_places: list[int], start: int, end: int) -> int | None:
+        low, high = bisect_right(sorted_places, start), bisect_left(sorted_places, end)
+        at = bisect_left(sorted_places, (start + end) / 2, low, high)
+        return min((sorted_places[i] for i in (at - 1, at) if low <= i < high), key=lambda p: abs(p - (start + end) / 2), default=None)
+
     def cut_place(start: int, end: int) -> int:
+        """The strongest boundary near the midpoint; else the nearest line, else the nearest boundary, else there."""
         middle, reach = (start + end) / 2, (end - start) * NEAR
-        low, high = bisect_left(places, middle - reach), bisect_right(places, middle + reach)
-        inside = [i for i in range(low, high) if start < places[i] < end]
-        if not inside:
-            return (start + end) // 2
-        return places[max(inside, key=lambda i: (strength[i], -abs(places[i] - middle), -places[i]))]
+        near = range(bisect_left(places, middle - reach), bisect_right(places, middle + reach))
+        best = max(near, key=lambda i: (strength[i], -abs(places[i] - middle), -places[i]), default=None)
+        if best is not None and strength[best] >= LINE:
+            return places[best]
+        for place in (nearest(lines, start, end), places[best] if best is not None else None, nearest(places, start, end)):
+            if place is not None:
+                return place
+        return (start + end) // 2
 
     pieces, stack = [], [(0, len(text))]
     while stack:
