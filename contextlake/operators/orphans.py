@@ -4,9 +4,10 @@ Method: the keys of parents and children are put into one long table of tagged r
 key; keys without a parent's flag are the missing ones. Combining is map-side, so a key that holds a third of all
 references is one row for each task, and only keys go through the shuffle.
 
-Scale: what a reference needs to know of its key comes back by joins whose one side is a table of distinct keys. As
-references are skewed to few keys, both sides are salted: references by a hash of their other fields, keys by
-repetition.
+Scale: what a reference needs to know of its key comes back by joins whose one side is a table of distinct keys. The
+combined table also tells which keys are hot: at most ``1 / HOT_SHARE`` keys hold more than that share of all
+references. Only these are salted, references by a hash of their other fields, keys by repetition; all other keys stay
+single. The join on resolved paths is left to AQE, which may split its probe side as the other has distinct keys.
 """
 
 from __future__ import annotations
@@ -15,19 +16,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextlake.functions.paths import dirname, normal_path
+from contextlake.session import cut
 
-#: Parts that a hot key's references are dealt to.
-SALTS = 16
+#: The share of all references from which on a key is hot, and the parts that its references are dealt to.
+HOT_SHARE, SALTS = 0.001, 64
 
 #: What a relative import may leave off, by falling precedence.
 IMPORT_ENDINGS = ["", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", ".java", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", "/index.mjs"]
 
 
-def salted_left_join(rows: DataFrame, keys: DataFrame, key: str, spread_by: list[str], salts: int = SALTS) -> DataFrame:
-    """``rows`` with the columns of ``keys`` (one row for each ``key``), whatever the skew of ``rows``."""
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+def salted_left_join(rows: DataFrame, keys: DataFrame, key: str, hot: DataFrame, spread_by: list[str], salts: int = SALTS) -> DataFrame:
+    """``rows`` with the columns of ``keys`` (one row for each ``key``); ``hot`` (``key``, distinct) names the keys that
+    many rows share, and is short enough to broadcast by its definition."""
+    marked = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    dealt = rows.join(marked, key, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = keys.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
 def key_flags(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -69,7 +75,8 @@ def faulty_references(dependencies: DataFrame, files: DataFrame, removed_files:
     target_missing; for a relative path without a target id path_missing or target_late. period is the month of the
     source file's indexed_at, null if the source is missing or has none. Rows with a null source_file_id count as
     source_missing; other null targets, also null target_paths, are at no fault. Of several target ids of one reference
-    the smallest non-null one counts. Dirty paths are compared in normal form.
+    the smallest non-null one counts. Dirty paths are compared in normal form; a source without a path counts as
+    one at the root.
     """
     refs = dependencies.groupBy("source_file_id", "target_path").agg(F.min("target_file_id").alias("target_file_id"))
     latest = _latest_files(files).withColumn("path", normal_path(F.col("path")))
@@ -77,16 +84,16 @@ def faulty_references(dependencies: DataFrame, files: DataFrame, removed_files:
     child = lambda c: dependencies.filter(F.col(c).isNotNull()).select(F.lit("files").alias("parent_table"), F.col(c).alias("key"))
     file_keys = latest.select(F.lit("files").alias("parent_table"), F.col("file_id").alias("key"), F.lit(_FILE).alias("flag"), F.col("indexed_at").alias("at"))
     gone = removed_files.filter("file_id is not null").select(F.lit("files").alias("parent_table"), F.col("file_id").alias("key"), F.lit(_REMOVED).alias("flag"), F.lit(None).cast("timestamp").alias("at"))
-    flags = key_flags(child("source_file_id").unionByName(child("target_file_id")), file_keys.unionByName(gone)).filter("n_children > 0")
+    flags = cut(key_flags(child("source_file_id").unionByName(child("target_file_id")), file_keys.unionByName(gone)).filter("n_children > 0"))
+    hot = flags.filter(F.col("n_children") > max(1, 2 * dependencies.count() * HOT_SHARE)).select("key")
     lacking = flags.filter((F.col("flags").bitwiseAND(_FILE)) == 0).select(F.col("key").alias("target_file_id"), F.col("flags").alias("target_flags"))
 
     sources = latest.select(F.col("file_id").alias("source_file_id"), F.col("path").alias("source_path"), F.col("indexed_at").alias("source_at"), F.lit(True).alias("source_there"))
-    known = salted_left_join(refs, sources, "source_file_id", ["target_path"])
-    known = salted_left_join(known, lacking, "target_file_id", ["source_file_id", "target_path"])
+    known = salted_left_join(refs, sources, "source_file_id", hot.withColumnRenamed("key", "source_file_id"), ["target_path"])
+    known = salted_left_join(known, lacking, "target_file_id", hot.withColumnRenamed("key", "target_file_id"), ["source_file_id", "target_path"])
     relative = F.col("target_file_id").isNull() & F.col("target_path").rlike(r"^\.\.?/") & F.col("source_there")
     known = known.withColumn("base", F.when(relative, normal_path(F.concat(dirname(F.col("source_path")), F.lit("/"), F.col("target_path")))))
-    resolved = resolve_relative(known, latest)
-    every = salted_left_join(known, resolved, "base", ["source_file_id", "target_path"])
+    every = known.join(resolve_relative(known, latest), "base", "left")
     kind = (
         F.when(F.col("source_there").isNull(), "source_missing")
         .when(F.col("target_flags").bitwiseAND(_REMOVED) != 0, "target_removed")
