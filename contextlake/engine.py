@@ -40,6 +40,7 @@ class Engine:
         self.snapshots = SnapshotStore(self.root / "backups")
         self.history = SearchHistory(self.config["history"]["max_entries"], self.config["history"]["enabled"])
         self._manifest = self.root / "manifest.json"
+        self._warm: tuple[str, DataFrame] | None = None
         if not self._manifest.exists():
             self._write({})
 
@@ -76,6 +77,25 @@ class Engine:
         part.write_text(json.dumps(manifest), encoding="utf-8")
         part.replace(self._manifest)
 
+    def warm(self) -> int:
+        """Keep what searches read of the current version in memory; the number of chunks."""
+        self.invalidate()
+        frame = self.table("chunks").select("chunk_id", "file_id", "name", "search_text").persist()
+        self._warm = (self.manifest["version"], frame)
+        return frame.count()
+
+    def invalidate(self) -> None:
+        """Let go of what ``warm`` keeps."""
+        if self._warm:
+            self._warm[1].unpersist()
+        self._warm = None
+
+    def _searched(self) -> DataFrame:
+        """The chunks for a search: the kept ones, unless they are of an older version."""
+        if self._warm and self._warm[0] != self.manifest["version"]:
+            self.invalidate()
+        return self._warm[1] if self._warm else self.table("chunks")
+
     # Actions
 
     def scan(self, sub_path: str = "") -> DataFrame:
@@ -145,7 +165,7 @@ class Engine:
         """The best chunks of the current tables and, if asked for, those of a snapshot."""
         if not isinstance(query, str) or not query.strip():
             raise ValueError("search needs a query")
-        hits = search.search(self.table("chunks"), self.table("files"), query, self.config["search"]["top_k"] if top_k is None else top_k, language)
+        hits = search.search(self._searched(), self.table("files"), query, self.config["search"]["top_k"] if top_k is None else top_k, language)
         result = {"results": hits.join(self.table("chunks").select("chunk_id", "start_line", "end_line", "token_count", "content"), "chunk_id").orderBy(F.col("score").desc(), "chunk_id")}
         self.history.record(query, result["results"].count())
         if backup_id:
@@ -156,7 +176,7 @@ class Engine:
     def hybrid_search(self, query: str, top_k: int | None = None, alpha: float = 0.5) -> DataFrame:
         """BM25 and nearest vectors blended; BM25 alone where there are no vectors or the query has none."""
         k = self.config["search"]["top_k"] if top_k is None else top_k
-        ranked = search.search(self.table("chunks"), self.table("files"), query, 2 * k)
+        ranked = search.search(self._searched(), self.table("files"), query, 2 * k)
         vector = self.embedder.embed_batch([query])[0] if self.embedder and self.embedder.available() and query.strip() else []
         if not vector or self.table("vec_chunks").isEmpty():
             return search.top(ranked.select("chunk_id", "score", F.col("score").alias("bm25_score"), F.lit(0.0).alias("semantic_score")), k)

@@ -33,6 +33,7 @@ def test_actions(engine, tmp_path):
     edge = engine.table("dependencies").first()
     assert edge.target_path == "./lib/http" and edge.target_file_id is not None
     assert engine.search("login")["results"].first().path == "src/auth.js"
+    assert engine.warm() == 4 and engine.search("login")["results"].first().path == "src/auth.js"
     assert engine.embed() == 4 and engine.embed() == 0
     assert {"chunk_id", "score", "bm25_score", "semantic_score"} == set(engine.hybrid_search("login user").columns)
     status = engine.status()
