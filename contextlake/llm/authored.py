@@ -31,7 +31,7 @@ VENDOR_DIRS = ["vendor", "_vendor", "vendored", "third_party", "third-party", "t
 #: Directories that build tools write generated sources to.
 GENERATED_DIRS = ["__generated__", "generated", "generated-sources", "autogen", "gen"]
 #: Endings of names that generators, bundlers and package managers give.
-GENERATED_NAME = r"(\.(generated|g|gen|pb|pb2|designer)\.[a-z]+|_pb2(_grpc)?\.pyi?|_generated\.[a-z]+)$"
+GENERATED_NAME = r"(\.(generated|g|gen|pb|pb2|designer)\.[a-z]+|_pb2?(_grpc)?\.[a-z]+|_generated\.[a-z]+)$"
 MINIFIED_NAME = r"([.-]min\.(js|css)|\.bundle\.js)$"
 LOCK_NAME = r"(^|/)([^/]*[-.]lock\.(json|ya?ml)|[^/]+\.lock|go\.sum|npm-shrinkwrap\.json)$"
 #: Extensions of texts and settings, which no layout tells apart from generated ones.

@@ -40,3 +40,9 @@ def test_table(spark):
 @pytest.mark.parametrize("text", ["", "\n", "a\n"])
 def test_short(text):
     assert splitting.split_text(text) == [(0, 0, len(text))]
+
+
+def test_lines_before_the_inside_of_lines():
+    text = "a;\nb;\n" + "x" * 6000 + "\nc;\nd;"
+    pieces = [text[s:e] for _, s, e in splitting.split_text(text)]
+    assert pieces[0] == "a;\nb;\n" and pieces[-1] == "c;\nd;" and len(pieces) == 6
