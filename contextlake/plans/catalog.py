@@ -643,6 +643,33 @@ def chunk_code(spark, folder):
     return made.select(F.col("file_id").alias("chunk_id"), "chunk_type", "name", "start_line", "end_line", "token_count")
 
 
+#: Literal sources and the chunks that the rules of the chunker give for them.
+_GOLDENS = {
+    "chunk_brace": [
+        (1, "js", "import { http } from './http';\nconst RETRIES = 3;\n\nexport async function login(user, pass) {\n  if (!user) {\n    throw new Error('x');\n  }\n  return http(user, pass);\n}", [("arrow", "RETRIES", 2, 9)]),
+        (2, "js", "function add(a, b) {\n  return a + b;\n}\n\nconst one = () => 1;", [("function", "add", 1, 3)]),
+        (3, "rs", "pub struct P {\n    x: i32,\n}\n\nimpl P {\n    pub fn get(&self) -> i32 {\n        self.x\n    }\n}", [("struct", "P", 1, 3), ("impl", "P", 5, 9)]),
+        (4, "java", "import java.util.List;\npublic class T {\n  public int id() {\n    return 1;\n  }\n}", [("class", "T", 2, 6)]),
+    ],
+    "chunk_indent": [(1, "py", "import os\n\ndef load(path):\n    with open(path) as f:\n        return f.read()\n\nclass Store:\n    def get(self):\n        return 1", [("function", "load", 3, 6), ("class", "Store", 7, 9)])],
+    "chunk_container_split": [(1, "ts", "class Big {\n  a() {\n    // " + "x" * 900 + "\n    return 1;\n  }\n  b() {\n    // " + "y" * 900 + "\n    return 2;\n  }\n}", [("method", "a", 2, 5), ("method", "b", 6, 9)])],
+}
+
+
+def _golden(name: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        sources = spark.createDataFrame([row[:3] for row in _GOLDENS[name]], "file_id long, language string, content string")
+        return chunking.chunk_files(sources).select("file_id", "chunk_type", "name", "start_line", "end_line")
+
+    run.__name__ = name
+    return run
+
+
+for _name, _rows in _GOLDENS.items():
+    _values = ", ".join(f"({i}, '{kind}', '{label}', {a}, {b})" for i, _, _, chunks in _rows for kind, label, a, b in chunks)
+    query(f"SELECT CAST(file_id AS BIGINT) AS file_id, chunk_type, name, start_line, end_line FROM (VALUES {_values}) AS t(file_id, chunk_type, name, start_line, end_line)")(_golden(_name))
+
+
 @query()
 def source_scan(spark, folder):
     """The Python files of this package, read by the project-tree source."""
