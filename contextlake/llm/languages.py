@@ -47,7 +47,7 @@ _CODE = [
     re.compile(r"@(?:param|returns?|throws|type|see)\b[^\n]*"),
     re.compile(r"^[ \t]*at \S+ \([^\n]*\)[ \t\r]*$", re.M),
     re.compile(r"^[a-z]{2,10}(?:\([^()\n]*\))?!?:(?= )", re.M | re.I),
-    re.compile(r"[\w$]+(?:[/\\.:_]+[\w$]+)+|\w*[a-z]\w*[A-Z]\w*(?<![A-Z]{3})"),
+    re.compile(r"(?<![\w$])(?:[\w$]+(?:[/\\.:_]+[\w$]+)+|\w*?[a-z0-9][A-Z]\w*)"),
 ]
 _SENTENCE = re.compile(r"[^\n.!?。！？]+[.!?。！？]*")
 _NOT_PROSE = re.compile(r"[\W\d_]+")
@@ -162,6 +162,9 @@ def fit_trees(rows: list[tuple[str, str]]) -> ContextTrees:
 
 def cheapest_path(costs: np.ndarray, switch: float = SWITCH_BITS) -> list[int]:
     """The language number of each row of ``costs`` on the cheapest path."""
+    own = costs.argmin(1)
+    if (own == own[0]).all():
+        return own.tolist()
     total, back = costs[0].copy(), []
     for row in costs[1:]:
         best = int(total.argmin())
@@ -195,19 +198,17 @@ def _confidence(bits: np.ndarray, language: int) -> float:
     return float(1 / np.exp2(np.clip(bits[language] - bits, -60, 60)).sum())
 
 
-def _stretches(text: str | None, score: _Scorer) -> list[tuple[int, int, str, int, float]]:
+def _stretches(parts: list[tuple[int, int, str]], costs: np.ndarray, names: list[str]) -> list[tuple[int, int, str, int, float]]:
     """(start, end, language, letters, confidence) of each run of sentences in one language."""
-    parts = sentences(text) if text else []
     if not parts:
         return []
-    costs = score([words for _, _, words in parts])
     path, result, at = cheapest_path(costs), [], 0
     while at < len(parts):
         end = at
         while end < len(parts) and path[end] == path[at]:
             end += 1
         letters = sum(len(words) - words.count(" ") for _, _, words in parts[at:end])
-        result.append((parts[at][0], parts[end - 1][1], score.trees.names[path[at]], letters, _confidence(costs[at:end].sum(0), path[at])))
+        result.append((parts[at][0], parts[end - 1][1], names[path[at]], letters, _confidence(costs[at:end].sum(0), path[at])))
         at = end
     return result
 
@@ -253,9 +254,12 @@ def language_stretches(documents: DataFrame, lang_codes: DataFrame, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _Scorer(trees.value)
         for batch in batches:
-            of, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = _stretches(text, score)
+            parsed = [sentences(text) if text else [] for text in batch.column(1).to_pylist()]
+            costs = score([words for parts in parsed for _, _, words in parts])
+            of, rows, at = [], [], 0
+            for i, parts in enumerate(parsed):
+                found = _stretches(parts, costs[at : at + len(parts)], trees.value.names)
+                at += len(parts)
                 of += [i] * len(found)
                 rows += found
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
