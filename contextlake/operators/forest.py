@@ -29,36 +29,28 @@ def links(edges: DataFrame, parent: str, child: str) -> DataFrame:
 
 
 def rooted(nodes: DataFrame) -> DataFrame:
-    """Rows (node, parent, root, depth); root and depth are -1 on and below cycles.
+    """Rows (node, parent, root, depth, size): size counts a node and all beneath it; root, depth and size are -1 on and
+    below cycles.
 
-    ``nodes`` has one row (node, parent) for each node. The k-th round knows the 2^k-th ancestor; as depths have no
-    gaps, a round in which no node arrives at a root ends the walk, and what hasn't arrived never will.
+    ``nodes`` has one row (node, parent) for each node. The k-th round knows the 2^k-th ancestor of the nodes that
+    haven't arrived at a root; their sums so far are what lies 2^k to 2^(k+1) - 1 links beneath that ancestor. As depths
+    have no gaps, a round in which no node arrives ends the walk, and what hasn't arrived never will.
     """
-    now = cut(nodes.select("node", "parent", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("parent").isNull().alias("done")))
+    top = F.col("parent").isNull()
+    now = cut(nodes.select("node", "parent", F.coalesce("parent", "node").alias("up"), F.when(top, 0).otherwise(1).cast("bigint").alias("depth"), top.alias("done"), F.lit(1).cast("bigint").alias("size")))
     arrived = now.filter("done").count()
     while True:
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("end"))
-        going = now.filter("not done").join(above, "up").select("node", "parent", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("done"))
-        now = cut(now.filter("done").unionByName(going))
+        going = now.filter("not done")
+        below = going.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("further"), F.col("done").alias("end"))
+        moved = going.join(above, "up").select("node", "parent", F.col("next").alias("up"), (F.col("depth") + F.col("further")).alias("depth"), F.col("end").alias("done"), "size")
+        every = now.filter("done").unionByName(moved).join(below, "node", "left")
+        now = cut(every.withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
         before, arrived = arrived, now.filter("done").count()
         if arrived == before:
             break
-    cyclic = ~F.col("done")
-    return now.select("node", "parent", F.when(cyclic, -1).otherwise(F.col("up")).cast("bigint").alias("root"), F.when(cyclic, -1).otherwise(F.col("depth")).cast("bigint").alias("depth"))
-
-
-def subtree_sizes(trees: DataFrame) -> DataFrame:
-    """Rows (node, size): the nodes of each subtree, itself included; ``trees`` has (node, parent) without cycles.
-
-    The k-th round adds to each node what lies 2^k to 2^(k+1) - 1 links beneath it: the sums so far of the nodes
-    whose 2^k-th ancestor it is.
-    """
-    now = cut(trees.select("node", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")))
-    while not now.filter("up is not null").isEmpty():
-        below = now.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        now = cut(now.join(below, "node", "left").join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-    return now.select("node", "size")
+    of_tree = lambda c: F.when(F.col("done"), F.col(c)).otherwise(-1).cast("bigint")
+    return now.select("node", "parent", of_tree("up").alias("root"), of_tree("depth").alias("depth"), of_tree("size").alias("size"))
 
 
 def chains(nodes: DataFrame) -> DataFrame:
@@ -68,9 +60,8 @@ def chains(nodes: DataFrame) -> DataFrame:
     walk of its tree, heavy children first, and the last place beneath it: a node's descendants are the nodes of its
     root with first in (first, last]. On and below cycles all but node and parent are -1.
     """
-    known = cut(rooted(nodes))
-    trees = known.filter("root <> -1")
-    sized = cut(trees.join(subtree_sizes(trees), "node"))
+    known = rooted(nodes)
+    sized = known.filter("root <> -1")
     kids = sized.filter("parent is not null").select("node", "parent", "size")
     start = sized.join(_offsets(kids), "node", "left")
     heavy = F.coalesce("heavy", F.lit(False))
@@ -84,7 +75,7 @@ def chains(nodes: DataFrame) -> DataFrame:
     placed = step.join(jumps.select(F.col("node").alias("head"), F.col("first").alias("base")), "head").withColumn("first", F.col("base") + F.col("place"))
     placed = placed.select("node", "parent", "root", "depth", "size", "head", "place", "first", (F.col("first") + F.col("size") - 1).alias("last"))
     none = F.lit(-1).cast("bigint")
-    lost = known.filter("root = -1").select("node", "parent", "root", "depth", *[none.alias(c) for c in ("size", "head", "place", "first", "last")])
+    lost = known.filter("root = -1").select("node", "parent", "root", "depth", "size", *[none.alias(c) for c in ("head", "place", "first", "last")])
     return placed.unionByName(lost)
 
 
