@@ -9,6 +9,14 @@ from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
+#: What a scan leaves out.
+IGNORE_PATTERNS = [
+    *["node_modules/**", "vendor/**", "__pycache__/**", ".venv/**", "dist/**", "build/**", "out/**", ".next/**", "target/**", ".git/**"],
+    *["*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico", "*.svg", "*.bmp", "*.webp", "*.woff", "*.woff2", "*.ttf", "*.eot"],
+    *["*.mp3", "*.mp4", "*.wav", "*.avi", "*.mkv", "*.webm", "*.zip", "*.tar", "*.gz", "*.rar", "*.7z"],
+    *["*.exe", "*.dll", "*.so", "*.dylib", "*.bin", "*.class", "*.jar", "*.war", "*.ear"],
+    *["*.min.js", "*.min.css", "*.map", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "data/**"],
+]
 #: The defaults.
 DEFAULTS: dict[str, Any] = {
     "project_dir": ".",
@@ -18,13 +26,13 @@ DEFAULTS: dict[str, Any] = {
         "max_file_size": 1 << 20,
         "max_files": 50_000,
         "token_multiplier": 3.5,
-        "languages": ["js", "ts", "jsx", "tsx", "py", "rs", "go", "java", "c", "cpp", "h", "rb", "php", "swift", "kt", "cs", "vue"],
-        "also_text": ["md", "json", "yaml", "yml", "toml", "xml", "html", "css", "sql", "sh", "bat", "txt"],
+        "languages": ["js", "ts", "jsx", "tsx", "py", "rs", "go", "java", "c", "cpp", "h", "hpp", "cs", "rb", "php", "swift", "kt"],
+        "also_text": ["md", "json", "yaml", "yml", "toml", "xml", "html", "css", "sql", "sh", "bat", "ps1"],
     },
     "assembly": {"budget": 40_000, "layers": {"fixed": 0.1, "short_term": 0.3, "associative": 0.4, "spare": 0.2}, "dependency_depth": 2},
     "search": {"k1": 1.2, "b": 0.75, "top_k": 10},
     "embedding": {"enabled": False, "model": "hashing"},
-    "ignore": {"use_gitignore": True, "use_contextignore": True, "patterns": ["node_modules/**", ".git/**", "dist/**", "build/**", "*.min.js", "*.lock", "package-lock.json"]},
+    "ignore": {"use_gitignore": True, "use_contextignore": True, "patterns": IGNORE_PATTERNS},
     "backup": {"max_backups": 10, "max_age_days": 30, "before_reindex": True},
     "history": {"enabled": True, "max_entries": 100, "max_hot_files": 30},
 }
