@@ -1,23 +1,23 @@
 """Near-duplicate texts with small edits, over collections too large for pairwise comparison.
 
-Method: one-permutation hashing with optimal densification, banded buckets and star-shaped candidate edges.
+Method: an exact prefix-filter join of the sets.
 
-1. Each text becomes its set of word runs (*shingles*), one hash function spreads them over ``BINS`` bins, the least
-   value of each bin is kept, and an empty bin borrows from the bin that a hash of (bin, attempt) names first.
-   Texts with equal sets share one *class*; from here on classes stand for their members.
-2. ``ROWS`` bins make a band; classes that agree in a band share a bucket. Of a bucket, the class that is least in the
-   bucket's own random order is the centre, and each other class gets one candidate edge to it, so m classes give
-   m - 1 edges. As every bucket draws its own centre, two alike classes meet directly in most of their buckets.
-3. Candidates are checked exactly on the sets. Classes linked to the same class are candidates too and are checked in
-   the same way (*closing*), so that links between two non-centres come out; their number follows the result's.
+1. Each text becomes its set of word runs (*shingles*). Texts with equal sets share one *class*; from here on classes
+   stand for their members.
+2. All shingles are put in one order, those frequent in a sample of the classes last. Two sets that are alike enough
+   share k shingles (all, if the similarity needs fewer) among the first ones of each (*prefix*): n - ceil(t n) + k of n
+   shingles at similarity t, and of the smaller set even n - ceil(2t / (1 + t) n) + k. Classes that share so many are
+   candidates, unless their sizes or what follows a shared shingle in both sets rule out the similarity.
+3. Candidates are checked exactly on the sets.
 
-At similarity s a pair shares at least one of the b bands of r rows with probability 1 - (1 - s^r)^b: 0.9996 at 0.6
-with the values here, and more than 0.999999 at 0.75.
+Every order gives all pairs; the sample only decides how many candidates there are. As shared boilerplate is frequent
+and so comes last, it lies behind the prefix of texts that share nothing else, however many have it.
 
 Scale: texts are read once and reduced to integers in Arrow batches; the reduced table is written to the shared
-checkpoint folder. Buckets are combined map-side to one row each (least and largest key) and joined back, so a hot
-bucket is no group in one task: its rows are plain probe rows of a join that AQE may split. Copies of a text within
-a task carry no bands, so a group of copies costs one row for each task.
+checkpoint folder. Shingles of one class only are dropped before the join, a plain one that AQE may split. Copies of a
+text within a task carry no set, so a group of copies costs one row for each task.
+
+``signatures`` and bands (one-permutation hashing, optimal densification) give star-shaped candidate edges.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextlake.operators.components import connected_components
@@ -38,6 +38,13 @@ BINS = 96
 ROWS = 3
 BANDS = BINS // ROWS
 
+#: One of so many classes is sampled for frequent shingles; those met so often in the sample, at most so many, are kept.
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 2, 1_000_000
+#: The shingles that candidates share in their prefixes.
+AGREE = 3
+#: What rounding may take from a product that should be a whole number.
+_EPS = 1e-9
+
 _WORD = re.compile(r"[a-z0-9_]+")
 _U = np.uint64
 _ODD = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xFF51AFD7ED558CCD))
@@ -112,8 +119,8 @@ def signatures(owner: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
     return result
 
 
-def _reduced(texts: list[str | None], words: int, memo: dict) -> tuple[np.ndarray, ...]:
-    """For each text with shingles: its number, class key, set size, bands; and all shingles."""
+def _reduced(texts: list[str | None], words: int, memo: dict, banded: bool = True) -> tuple[np.ndarray, ...]:
+    """For each text with shingles: its number, class key, set size, bands if ``banded``; and all shingles."""
     owner, shingles = shingle_sets(texts, words, memo)
     sizes = np.bincount(owner, minlength=len(texts))
     some = np.nonzero(sizes)[0]
@@ -121,6 +128,8 @@ def _reduced(texts: list[str | None], words: int, memo: dict) -> tuple[np.ndarra
         return some, np.zeros(0, np.int64), sizes[some], np.zeros((0, BANDS), np.int64), shingles.view(np.int32)
     starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
     key = _mix(np.add.reduceat(_mix(shingles.astype(_U) * _ODD[3] + _ODD[4]), starts) + sizes[some].astype(_U))
+    if not banded:
+        return some, key.view(np.int64), sizes[some], np.zeros((len(some), 0), np.int64), shingles.view(np.int32)
     bins = signatures(owner, shingles, len(texts))[some]
     number = np.zeros(len(some), _U)
     bands = np.stack([_combine([number + _U(i), *(bins[:, i * ROWS + r] for r in range(ROWS))]) for i in range(BANDS)], axis=1)
@@ -131,18 +140,18 @@ def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Lis
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values, kind))
 
 
-def reduce_texts(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def reduce_texts(df: DataFrame, id_col: str, text_col: str, words: int, banded: bool = True) -> DataFrame:
     """Rows (id, key, size, bands, shingles) of the texts that have shingles.
 
     bands and shingles are empty where the task has met the class before; the first row of a class in each task
-    carries both.
+    carries both, bands only if ``banded``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, met = _WordHashes(), set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            some, key, sizes, bands, shingles = _reduced(texts, words, memo)
+            some, key, sizes, bands, shingles = _reduced(texts, words, memo, banded)
             new = np.zeros(len(some), bool)
             for i, k in enumerate(key.tolist()):
                 if k not in met:
@@ -153,7 +162,7 @@ def reduce_texts(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                     batch.column(0).take(pa.array(some)),
                     pa.array(key, pa.int64()),
                     pa.array(sizes, pa.int32()),
-                    _lists(bands[new].ravel(), np.where(new, BANDS, 0), pa.int64()),
+                    _lists(bands[new].ravel(), np.where(new, bands.shape[1], 0), pa.int64()),
                     _lists(shingles[np.repeat(new, sizes)], np.where(new, sizes, 0), pa.int32()),
                 ],
                 names=["id", "key", "size", "bands", "shingles"],
@@ -174,6 +183,60 @@ def candidate_edges(reduced: DataFrame) -> DataFrame:
     return edges.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
 
 
+def prefixes(shingles: np.ndarray, sizes: np.ndarray, threshold: float, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(set number, place from 1, shingle) of the prefixes of sets that lie one after another in ``shingles``.
+
+    ``frequent`` is sorted; its shingles come after all others, in the order of ``rank``.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.searchsorted(frequent, shingles)
+    at[at == len(frequent)] = 0
+    late = np.where(frequent[at] == shingles, rank[at], 0) if len(frequent) else np.zeros(len(shingles), np.int64)
+    order = np.lexsort((shingles, late, owner))
+    place = np.arange(len(shingles)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    kept = place <= np.repeat(sizes - np.ceil(threshold * sizes - _EPS).astype(np.int64) + AGREE, sizes)
+    return owner[kept], place[kept], shingles[order][kept]
+
+
+def prefix_rows(reduced: DataFrame, threshold: float) -> DataFrame:
+    """Rows (shingle, key, size, place), each once, of the shingles in the prefixes of at least two classes."""
+    sets = reduced.filter(F.size("shingles") > 0).select("key", "shingles")
+    counted = sets.filter(F.pmod("key", F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    counted = counted.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toArrow()
+    frequent = counted.column("shingle").to_numpy()
+    order = np.argsort(frequent)
+    given = reduced.sparkSession.sparkContext.broadcast((frequent[order], len(frequent) - order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, place, shingle = prefixes(lists.flatten().to_numpy(zero_copy_only=False), sizes, threshold, *given.value)
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            columns = [pa.array(shingle, pa.int32()), pa.array(key[owner], pa.int64()), pa.array(sizes[owner], pa.int32()), pa.array(place, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "key", "size", "place"])
+
+    rows = sets.mapInArrow(run, "shingle int, key bigint, size int, place int").repartition("shingle").dropDuplicates(["shingle", "key"])
+    whole = Window.partitionBy("shingle")
+    rows = rows.withColumn("least", F.min("key").over(whole)).withColumn("most", F.max("key").over(whole))
+    return rows.filter("least <> most").select("shingle", "key", "size", "place")
+
+
+def candidate_pairs(reduced: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b), a < b, each once: all pairs of classes that can be alike, by their prefixes and sizes."""
+    rows = cut(prefix_rows(reduced, threshold))
+    share = threshold / (1 + threshold)
+    short = rows.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * 2 * share - _EPS) + AGREE)
+    x, y = (t.select("shingle", *[F.col(c).alias(f"{c}_{n}") for c in ("key", "size", "place")]) for t, n in ((short, "x"), (rows, "y")))
+    smaller = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("key_x") < F.col("key_y")))
+    enough = F.col("size_x") >= threshold * F.col("size_y") - _EPS
+    needed = F.ceil(share * (F.col("size_x") + F.col("size_y")) - _EPS)
+    rest = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + AGREE
+    near = x.join(y, "shingle").filter(smaller & enough & (rest >= needed))
+    near = near.groupBy(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).agg(F.count("*").alias("met"), F.first(needed).alias("needed"))
+    return near.filter(F.col("met") >= F.least("needed", F.lit(AGREE))).select("a", "b")
+
+
 def sets_of(edges: DataFrame, reduced: DataFrame) -> DataFrame:
     """Rows (key, shingles), one for each class of ``edges``."""
     keys = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -189,29 +252,17 @@ def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_classes(reduced: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, b, similarity), a < b, of alike classes: checked star edges, closed over shared neighbours.
+    """Rows (a, b, similarity), a < b, of all alike classes.
 
-    Closing repeats with the links that the last round added until a round adds none. Only classes with a candidate
-    edge have their sets moved, and only once.
+    Only classes with a candidate have their sets moved, and only once.
     """
-    tested = cut(candidate_edges(reduced))
-    sets = cut(sets_of(tested, reduced))
-    links = cut(verified(tested, sets, threshold))
-    fresh = links
-    while True:
-        ways = [x.select(F.col("a").alias("m"), F.col("b").alias("o")).unionByName(x.select(F.col("b").alias("m"), F.col("a").alias("o"))) for x in (fresh, links)]
-        wedges = ways[0].join(ways[1].withColumnRenamed("o", "p"), "m").filter("o <> p")
-        wedges = wedges.select(F.least("o", "p").alias("a"), F.greatest("o", "p").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        wedges = cut(wedges)
-        fresh = cut(verified(wedges, sets, threshold))
-        if fresh.isEmpty():
-            return links
-        tested, links = tested.unionByName(wedges), links.unionByName(fresh)
+    pairs = cut(candidate_pairs(reduced, threshold))
+    return cut(verified(pairs, cut(sets_of(pairs, reduced)), threshold))
 
 
 def reduce_and_link(df: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(members: id, key), each once, and (links: a, b, similarity) of their classes."""
-    reduced = cut(reduce_texts(df, id_col, text_col, words))
+    reduced = cut(reduce_texts(df, id_col, text_col, words, banded=False))
     return reduced.select("id", "key").distinct(), similar_classes(reduced, threshold)
 
 

@@ -47,6 +47,30 @@ def test_pairs(spark):
         assert (groups[i].class_id == groups[j].class_id) == (sets[i] == sets[j])
 
 
+def _family(n, own=30):
+    """2n texts with the same head of 66 words; texts 2i and 2i + 1 also share most of their own words."""
+    rng = random.Random(7)
+    head = [f"h{i}" for i in range(66)]
+    texts = []
+    for i in range(n):
+        mine = [f"o{i}x{k}" for k in range(own)]
+        for side in "ab":
+            cut_off = rng.randint(9, 11)
+            texts.append(" ".join(head + mine[:cut_off] + [f"{side}{i}y{k}" for k in range(own - cut_off)]))
+    return texts
+
+
+def test_pairs_in_a_boilerplate_family(spark):
+    texts = _family(250)
+    frame = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    true = _pairs(texts, 3, 0.6)
+    assert true == {(i, i + 1) for i in range(0, 500, 2)}
+    got = near_duplicates.near_duplicate_pairs(frame, words=3, threshold=0.6)
+    assert {(r.id_a, r.id_b) for r in got.collect()} == true
+    groups = near_duplicates.near_duplicate_groups(frame, words=3, threshold=0.6)
+    assert {r.id: r.group_id for r in groups.collect()} == {i: i - i % 2 for i in range(500)}
+
+
 def test_copies_stay_linear(spark):
     frame = spark.createDataFrame([(i, "alpha beta gamma delta epsilon zeta") for i in range(3000)], "chunk_id long, content string")
     reduced = near_duplicates.reduce_texts(frame, "chunk_id", "content", 5)
