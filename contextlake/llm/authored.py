@@ -5,7 +5,8 @@ one statement a line and every name, number and string replaced by a sign for it
 against it: many statements to a line mark minified code, a form that repeats itself without variation marks generated
 code, and literals that outweigh everything else mark data. A generator's notice in a comment at the head of a chunk,
 and the places and names that generators use, lower the bar for generated code but never decide alone. Copies of
-third-party code and lock files are known by their place and name.
+third-party code are known by their place or by a notice in the comment that a file starts with, lock files by their
+name.
 
 Scale: a chunk becomes one narrow row of counts in Python, in Arrow batches; counts are summed by file with map-side
 combining, so a file that holds a tenth of all chunks is never gathered anywhere.
@@ -63,13 +64,26 @@ _NOTICE = re.compile(
     re.I | re.M,
 )
 
-COUNTS = ["chars", "layout", "lines", "statements", "literal", "code", "forms", "notice", "widest"]
+#: The comment that a text starts with, and the marks at the start of its lines.
+_LEAD = re.compile(r"(?:\s*(?:/\*.*?\*/|<!--.*?-->|//[^\n]*|--[^\n]*|#(?!\[|[ \t]*(?:include|define|if|ifdef|ifndef|pragma|import|region)\b)[^\n]*))+", re.S)
+_MARKS = re.compile(r"^[ \t]*(?:/\*+!?|//+!?|#+!?|\*+/?|<!--+|--+)?[ \t]*", re.M)
+#: A notice in it that the file is a copy of third-party code: a statement of origin, or a banner of name, version, copyright and licence.
+_FOREIGN = re.compile(
+    r"^(?:this (?:file|code|module) (?:is|was) )?(?:vendored (?:from|copy of)\b|(?:a )?bundled copy of \S+[^\n]*\d+\.\d+|(?:copied|imported|taken) (?:verbatim|unchanged|unmodified|as is) from\b)"
+    r"|^third[- ]party: *\S+ v?\d+\.\d+|^third[- ]party\b[^\n]*\bimported as[- ]is\b"
+    r"|^[@\w][\w@./-]*(?: [\w.-]+)?,? v?\d+(?:\.\d+)+\b(?=.{0,400}?(?:\(c\)|©|copyright))(?=.{0,600}?\blicen[cs]ed?\b)",
+    re.I | re.M | re.S,
+)
+
+COUNTS = ["chars", "layout", "lines", "statements", "literal", "code", "forms", "notice", "foreign", "widest"]
 
 
 def lex_counts(text: str) -> tuple[int, ...]:
     """Counts of one chunk: characters, lines with code, those that could tell who wrote them, statements, characters in literals and of code without
-    blanks, distinct runs of three line forms, whether it starts with a notice, widest line; and a hash of its form."""
+    blanks, distinct runs of three line forms, whether it starts with a generator's notice, or with one of third-party code, widest line; and a hash of its form."""
     notice = int(bool(_NOTICE.search("\n".join(text.split("\n", HEAD_LINES)[:HEAD_LINES]))))
+    lead = _LEAD.match(text)
+    foreign = int(bool(lead and _FOREIGN.search(_MARKS.sub("", lead.group()))))
     bare, n_strings = _STRING.subn("\x01", text)
     in_strings = len(text) - len(bare) - n_strings
     bare = _COMMENT.sub("", bare)
@@ -82,29 +96,37 @@ def lex_counts(text: str) -> tuple[int, ...]:
     rows = [r for r in layout if r != "\x03" and not _FIELD.fullmatch(r)]
     runs = set(zip(rows, rows[1:], rows[2:])) if len(rows) > 2 else {tuple(rows)}
     widest = max(map(len, text.split("\n")))
-    return (len(text), len(layout), len(rows), statements, in_strings + in_numbers, code, len(runs) if rows else 0, notice, widest, xxhash.xxh3_64_intdigest("\n".join(rows)) - (1 << 63))
+    return (len(text), len(layout), len(rows), statements, in_strings + in_numbers, code, len(runs) if rows else 0, notice, foreign, widest, xxhash.xxh3_64_intdigest("\n".join(rows)) - (1 << 63))
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
-    """Rows (file_id, chunk_id, counts of ``lex_counts``, form) of the chunks with content; nothing is shuffled."""
-    names = ["file_id", "chunk_id", *COUNTS, "form"]
+    """Rows (file_id, chunk_id, line, counts of ``lex_counts``, form) of the chunks with content; nothing is shuffled.
+
+    line is the line that the chunk starts with, 1 at least, or a very large number where none is known.
+    """
+    names = ["file_id", "chunk_id", "line", *COUNTS, "form"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [lex_counts(t) for t in batch.column(2).to_pylist()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names[2:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=names)
+            rows = [lex_counts(t) for t in batch.column(3).to_pylist()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names[3:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
-    source = chunks.filter(F.length("content") > 0).select(F.col("file_id").cast("bigint"), F.col("chunk_id").cast("bigint"), "content")
+    known = F.col("start_line").cast("bigint") if "start_line" in chunks.columns else F.lit(None)
+    line = F.coalesce(F.greatest(known, F.lit(1)), F.lit(1 << 40)).cast("bigint")
+    source = chunks.filter(F.length("content") > 0).select(F.col("file_id").cast("bigint"), F.col("chunk_id").cast("bigint"), line.alias("line"), "content")
     return spread(source).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def file_counts(chunks: DataFrame) -> DataFrame:
     """The counts of each file_id: sums over its chunks, each chunk_id once; the widest line; the forms of equal chunk
-    forms once."""
-    once = chunk_counts(chunks).groupBy("file_id", "chunk_id").agg(*[F.max(c).alias(c) for c in [*COUNTS, "form"]])
-    by_form = once.groupBy("file_id", "form").agg(*[F.sum(c).alias(c) for c in COUNTS if c not in ("forms", "widest")], F.max("forms").alias("forms"), F.max("widest").alias("widest"))
-    return by_form.groupBy("file_id").agg(*[F.sum(c).alias(c) for c in COUNTS if c != "widest"], F.max("widest").alias("widest"))
+    forms once; foreign of the chunks at its start only."""
+    once = chunk_counts(chunks).groupBy("file_id", "chunk_id").agg(F.min("line").alias("line"), *[F.max(c).alias(c) for c in [*COUNTS, "form"]])
+    sums = [F.sum(c).alias(c) for c in COUNTS if c not in ("forms", "foreign", "widest")]
+    start = F.min(F.struct("line", (-F.col("foreign")).alias("minus"))).alias("start")
+    by_form = once.groupBy("file_id", "form").agg(*sums, F.max("forms").alias("forms"), F.max("widest").alias("widest"), start)
+    by_file = by_form.groupBy("file_id").agg(*sums, F.sum("forms").alias("forms"), F.max("widest").alias("widest"), F.min("start").alias("start"))
+    return by_file.withColumn("foreign", -F.col("start.minus")).drop("start")
 
 
 def _clean_path(path: str = "path") -> Column:
@@ -135,7 +157,7 @@ def file_origins(files: DataFrame, chunks: DataFrame) -> DataFrame:
     layout = F.greatest("layout", F.lit(1))
     dense = (F.col("statements") / layout >= MINIFIED_STATEMENTS) & (F.col("chars") / layout >= MINIFIED_WIDTH)
     origin = (
-        F.when(_inside(where, VENDOR_DIRS), "vendored")
+        F.when(_inside(where, VENDOR_DIRS) | (code & (F.coalesce("foreign", F.lit(0)) > 0)), "vendored")
         .when(where.rlike(LOCK_NAME), "lock")
         .when(code & (dense | (empty & where.rlike(MINIFIED_NAME))), "minified")
         .when(code & (F.col("literal") / F.greatest("code", F.lit(1)) >= DATA_SHARE), "data")

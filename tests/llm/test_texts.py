@@ -54,6 +54,33 @@ def test_origins(spark):
     assert authored.file_origins(table.limit(0), chunks.limit(0)).count() == 0
 
 
+FOREIGN = [
+    "/*! lunarheath v0.4.8 | (c) lunarheath contributors | permissive licence */\n",
+    "// Vendored from upstream fallowridge 8.13.6; local changes marked below.\n",
+    "\n// Third-party: keenheath 3.1.7. Imported as is, do not reformat.\n",
+    "// bundled copy of windypier (2.13.0) so that installs need no network\n",
+    "// Copied verbatim from the hazellathe project, release 7.16.4.\n// See THIRD_PARTY_NOTICES for its licence.\n",
+    "/*!\n * some.js v3.6.0\n * Copyright some contributors\n * Released under the X license\n */\n",
+]
+OWN = [
+    "// Loads modules vendored from upstream 1.2.3 and third-party: x 1.0 code.\n",
+    "const a = 1;\n// Vendored from upstream fallowridge 8.13.6; local changes marked below.\n",
+    "const s = '// Vendored from upstream x 1.2.3';\n",
+    "// Copyright the authors of this project, under its licence.\n",
+]
+
+
+def test_third_party_notices(spark):
+    texts = [t + HAND for t in FOREIGN + OWN]
+    paths = [(i, f"src/f{i}.js", D) for i in range(len(texts))] + [(50, "src/late.js", D), (51, "notes/a.md", D), (52, "src/zero.js", D)]
+    rows = [(i, i * 10, t, 1) for i, t in enumerate(texts)] + [(50, 500, HAND, 1), (50, 501, FOREIGN[1] + HAND, 40), (51, 510, "# Third-party: x 1.0.0", 1)]
+    rows += [(52, 520, HAND, 0), (52, 521, FOREIGN[0] + HAND, 1)]
+    files = spark.createDataFrame(paths, "file_id long, path string, indexed_at timestamp_ntz")
+    chunks = spark.createDataFrame(rows, "file_id long, chunk_id long, content string, start_line int")
+    got = {r.file_id for r in authored.file_origins(files, chunks).filter("origin = 'vendored'").collect()}
+    assert got == {*range(len(FOREIGN)), 52}
+
+
 @pytest.mark.parametrize("text", ["", "\n", "'", "\"", "/*", "`", "x" * 100_000, "\x00", "#", "日本語"])
 def test_lexer_takes_anything(text):
     assert len(authored.lex_counts(text)) == len(authored.COUNTS) + 1
