@@ -1,5 +1,9 @@
 """The entry points."""
 
+import sys
+
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -11,3 +15,9 @@ def test_names(spark):
 def test_entry(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["doc_id", "score"] and frame.count() == 10
+
+
+def test_failing_import_is_no_smaller_catalogue(monkeypatch):
+    monkeypatch.setitem(sys.modules, "contextlake.llm.queries", None)
+    with pytest.raises(ImportError):
+        entry.queries()
