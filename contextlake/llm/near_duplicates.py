@@ -272,7 +272,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str
 
     Null ids and texts, and texts with fewer than ``words`` words, make no pair. Repeated rows count once; an id with
     several texts pairs by each of them, with its greatest similarity. An empty table gives an empty one. The
-    result holds every pair of a group, as its definition asks; ``near_duplicate_groups`` is linear in the input.
+    result holds every pair of a group, as its definition asks; ``near_duplicate_groups`` expands no copies.
     """
     members, links = reduce_and_link(df, id_col, text_col, words, threshold)
     members = cut(members)
