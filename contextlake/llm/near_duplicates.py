@@ -1,23 +1,30 @@
 """Near-duplicate texts with small edits, over collections too large for pairwise comparison.
 
-Method: an exact prefix-filter join of the sets.
+Method: one-permutation hashing with optimal densification, banded buckets and star-shaped candidate edges.
 
 1. Each text becomes its set of word runs (*shingles*). Texts with equal sets share one *class*; from here on classes
    stand for their members.
-2. All shingles are put in one order, those frequent in a sample of the classes last. Two sets that are alike enough
-   share k shingles (all, if the similarity needs fewer) among the first ones of each (*prefix*): n - ceil(t n) + k of n
-   shingles at similarity t, and of the smaller set even n - ceil(2t / (1 + t) n) + k. Classes that share so many are
-   candidates, unless their sizes or what follows a shared shingle in both sets rule out the similarity.
-3. Candidates are checked exactly on the sets.
-
-Every order gives all pairs; the sample only decides how many candidates there are. As shared boilerplate is frequent
-and so comes last, it lies behind the prefix of texts that share nothing else, however many have it.
+2. A class is hashed once: its shingles fall into ``BINS`` bins, each bin keeps its least value, empty bins borrow from
+   a full one. Runs of ``rows_of(threshold)`` bins form bands; classes that agree on a band share a *bucket*. Two sets
+   at the threshold miss each other in every band with a probability of at most ``MISS``, more alike ones far less.
+3. Each class of a bucket gets one candidate edge, to the bucket's centre (its smallest class), so edges grow with the
+   classes and not with their pairs. Edges are checked exactly on the sets.
+4. What the stars leave open is settled exactly. Of two classes that are linked to the same centre the pair is checked
+   itself. Classes whose edge to a centre failed, and all that share its bucket, may be alike without the centre;
+   these, and only these, go through an exact prefix-filter join, so no bucket's rest is left to chance.
+
+The prefix-filter join puts the shingles in one order, those frequent in a sample of the classes last. Two sets that
+are alike enough share k shingles (all, if the similarity needs fewer) among the first ones of each (*prefix*):
+n - ceil(t n) + k of n shingles at similarity t, and of the smaller set even n - ceil(2t / (1 + t) n) + k. Every order
+gives all pairs; the sample only decides how many candidates there are. Boilerplate is frequent and comes last, so it
+lies behind the prefix of texts that share nothing else, however many have it.
 
 Scale: texts are read once and reduced to integers in Arrow batches; the reduced table is written to the shared
-checkpoint folder. Shingles of one class only are dropped before the join, a plain one that AQE may split. Copies of a
-text within a task carry no set, so a group of copies costs one row for each task.
-
-``signatures`` and bands (one-permutation hashing, optimal densification) give star-shaped candidate edges.
+checkpoint folder. Bands go through one shuffle, in which a bucket's rows meet its centre in a window. Buckets that
+hold more than ``HOT_SHARE`` of the classes, of which there are ``BANDS / HOT_SHARE`` at most, are known from a sample;
+their centres are combined map-side and broadcast, so their rows aren't shuffled at all. Sets are shuffled once, and
+only those of classes with an edge go further; sizes rule out edges before sets are joined. Copies of a text within a
+task carry no set, so a group of copies costs one row for each task.
 """
 
 from __future__ import annotations
@@ -35,8 +42,10 @@ from contextlake.operators.components import connected_components
 from contextlake.session import cut, spread
 
 BINS = 96
-ROWS = 3
-BANDS = BINS // ROWS
+#: The probability, at most, that two sets at the threshold agree on no band.
+MISS = 5e-4
+#: The share of the sampled classes from which on a bucket is hot, and the least number of sampled classes that counts.
+HOT_SHARE, HOT_LEAST = 0.001, 200
 
 #: One of so many classes is sampled for frequent shingles; those met so often in the sample, at most so many, are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 2, 1_000_000
@@ -119,68 +128,96 @@ def signatures(owner: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
     return result
 
 
-def _reduced(texts: list[str | None], words: int, memo: dict, banded: bool = True) -> tuple[np.ndarray, ...]:
-    """For each text with shingles: its number, class key, set size, bands if ``banded``; and all shingles."""
+def rows_of(threshold: float) -> int:
+    """The bins of a band: as many as keep the chance of missing a pair at the threshold within ``MISS``."""
+    fits = [r for r in range(1, BINS + 1) if (1 - threshold**r) ** (BINS // r) <= MISS]
+    return max(fits, default=1)
+
+
+def band_keys(owner: np.ndarray, shingles: np.ndarray, n: int, rows: int) -> np.ndarray:
+    """The bucket of each of ``n`` non-empty sets in each band."""
+    bins = signatures(owner, shingles, n)
+    number = np.zeros(n, _U)
+    return np.stack([_combine([number + _U(i), *(bins[:, i * rows + r] for r in range(rows))]) for i in range(BINS // rows)], axis=1).view(np.int64)
+
+
+def _reduced(texts: list[str | None], words: int, memo: dict) -> tuple[np.ndarray, ...]:
+    """For each text with shingles: its number, class key and set size; and all shingles."""
     owner, shingles = shingle_sets(texts, words, memo)
     sizes = np.bincount(owner, minlength=len(texts))
     some = np.nonzero(sizes)[0]
     if not len(some):
-        return some, np.zeros(0, np.int64), sizes[some], np.zeros((0, BANDS), np.int64), shingles.view(np.int32)
+        return some, np.zeros(0, np.int64), sizes[some], shingles.view(np.int32)
     starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
     key = _mix(np.add.reduceat(_mix(shingles.astype(_U) * _ODD[3] + _ODD[4]), starts) + sizes[some].astype(_U))
-    if not banded:
-        return some, key.view(np.int64), sizes[some], np.zeros((len(some), 0), np.int64), shingles.view(np.int32)
-    bins = signatures(owner, shingles, len(texts))[some]
-    number = np.zeros(len(some), _U)
-    bands = np.stack([_combine([number + _U(i), *(bins[:, i * ROWS + r] for r in range(ROWS))]) for i in range(BANDS)], axis=1)
-    return some, key.view(np.int64), sizes[some], bands.view(np.int64), shingles.view(np.int32)
+    return some, key.view(np.int64), sizes[some], shingles.view(np.int32)
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values, kind))
 
 
-def reduce_texts(df: DataFrame, id_col: str, text_col: str, words: int, banded: bool = True) -> DataFrame:
-    """Rows (id, key, size, bands, shingles) of the texts that have shingles.
+def reduce_texts(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """Rows (id, key, size, shingles) of the texts that have shingles.
 
-    bands and shingles are empty where the task has met the class before; the first row of a class in each task
-    carries both, bands only if ``banded``.
+    shingles is empty where the task has met the class before; the first row of a class in each task carries the set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, met = _WordHashes(), set()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            some, key, sizes, bands, shingles = _reduced(texts, words, memo, banded)
+            some, key, sizes, shingles = _reduced(batch.column(1).to_pylist(), words, memo)
             new = np.zeros(len(some), bool)
             for i, k in enumerate(key.tolist()):
                 if k not in met:
                     met.add(k)
                     new[i] = True
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(some)),
-                    pa.array(key, pa.int64()),
-                    pa.array(sizes, pa.int32()),
-                    _lists(bands[new].ravel(), np.where(new, bands.shape[1], 0), pa.int64()),
-                    _lists(shingles[np.repeat(new, sizes)], np.where(new, sizes, 0), pa.int32()),
-                ],
-                names=["id", "key", "size", "bands", "shingles"],
-            )
+            columns = [batch.column(0).take(pa.array(some)), pa.array(key, pa.int64()), pa.array(sizes, pa.int32()), _lists(shingles[np.repeat(new, sizes)], np.where(new, sizes, 0), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "size", "shingles"])
 
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col), F.col(text_col).cast("string")).filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0))
-    return spread(source).mapInArrow(run, f"id {kind}, key bigint, size int, bands array<bigint>, shingles array<int>")
+    return spread(source).mapInArrow(run, f"id {kind}, key bigint, size int, shingles array<int>")
+
+
+def bucket_rows(reduced: DataFrame, threshold: float) -> DataFrame:
+    """Rows (bucket, key): every class in its bucket of each band."""
+    rows = rows_of(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            bands = band_keys(np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32), len(sizes), rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bands.ravel(), np.full(len(sizes), bands.shape[1]), pa.int64())], names=["key", "buckets"])
 
+    made = reduced.filter(F.size("shingles") > 0).select("key", "shingles").mapInArrow(run, "key bigint, buckets array<bigint>")
+    return made.select(F.explode("buckets").alias("bucket"), "key")
 
-def candidate_edges(reduced: DataFrame) -> DataFrame:
-    """Rows (a, b) with a < b: one edge from each class of a bucket to the bucket's centre, each edge once."""
-    rows = reduced.filter(F.size("bands") > 0).select("key", F.explode("bands").alias("bucket"))
-    order = F.col("key").bitwiseXOR(F.col("bucket"))
-    ends = rows.groupBy("bucket").agg(F.min(order).alias("least"), F.max(order).alias("most")).filter("least <> most")
-    centres = ends.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("centre"))
-    edges = rows.join(centres, "bucket").filter("key <> centre")
-    return edges.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+
+def hot_buckets(reduced: DataFrame, threshold: float, share: float = HOT_SHARE, least: int = HOT_LEAST) -> list[int]:
+    """The buckets that hold more than ``share`` of the sampled classes; at most 1 / share of them in each band."""
+    sample = reduced.filter(F.pmod("key", F.lit(SAMPLE)) == 0)
+    bound = max(least, share * sample.agg(F.approx_count_distinct("key")).first()[0])
+    counted = bucket_rows(sample, threshold).groupBy("bucket").agg(F.count("*").alias("n"))
+    return [r.bucket for r in counted.filter(F.col("n") >= bound).select("bucket").collect()]
+
+
+def stars(reduced: DataFrame, threshold: float, share: float = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
+    """Rows (bucket, centre, key) of all classes that share a bucket with its centre, the smallest class in it.
+
+    The rows of a hot bucket meet their centre where they are; all others in one shuffle.
+    """
+    rows, spark = bucket_rows(reduced, threshold), reduced.sparkSession
+    hot = hot_buckets(reduced, threshold, share, least)
+    named = F.broadcast(spark.createDataFrame([(b,) for b in hot], "bucket bigint"))
+    whole = Window.partitionBy("bucket")
+    cold = (rows.join(named, "bucket", "left_anti") if hot else rows).withColumn("centre", F.min("key").over(whole)).filter("key <> centre")
+    if not hot:
+        return cold.select("bucket", "centre", "key")
+    mine = rows.join(named, "bucket", "left_semi")
+    centres = F.broadcast(mine.groupBy("bucket").agg(F.min("key").alias("centre")))
+    return cold.select("bucket", "centre", "key").unionByName(mine.join(centres, "bucket").filter("key <> centre").select("bucket", "centre", "key"))
 
 
 def prefixes(shingles: np.ndarray, sizes: np.ndarray, threshold: float, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -222,7 +259,7 @@ def prefix_rows(reduced: DataFrame, threshold: float) -> DataFrame:
     return rows.filter("least <> most").select("shingle", "key", "size", "place")
 
 
-def candidate_pairs(reduced: DataFrame, threshold: float) -> DataFrame:
+def prefix_pairs(reduced: DataFrame, threshold: float) -> DataFrame:
     """Rows (a, b), a < b, each once: all pairs of classes that can be alike, by their prefixes and sizes."""
     rows = cut(prefix_rows(reduced, threshold))
     share = threshold / (1 + threshold)
@@ -237,33 +274,53 @@ def candidate_pairs(reduced: DataFrame, threshold: float) -> DataFrame:
     return near.filter(F.col("met") >= F.least("needed", F.lit(AGREE))).select("a", "b")
 
 
-def sets_of(edges: DataFrame, reduced: DataFrame) -> DataFrame:
-    """Rows (key, shingles), one for each class of ``edges``."""
-    keys = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    return reduced.filter(F.size("shingles") > 0).select("key", "shingles").join(keys, "key", "left_semi").dropDuplicates(["key"])
+def sets_of(keys: DataFrame, reduced: DataFrame) -> DataFrame:
+    """Rows (key, size, shingles), one for each class of ``keys`` (key)."""
+    return reduced.filter(F.size("shingles") > 0).select("key", "size", "shingles").join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"])
 
 
-def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The edges whose sets share at least ``threshold`` of their union, with similarity."""
-    near = edges.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets share at least ``threshold`` of their union, with similarity; pairs whose sizes rule
+    that out are dropped before sets are joined."""
+    a, b = (sets.select(F.col("key").alias(n), F.col("size").alias(f"size_{n}")) for n in "ab")
+    near = pairs.join(a, "a").join(b, "b").filter(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - _EPS).select("a", "b")
+    near = near.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     near = near.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return near.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def similar_classes(reduced: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, b, similarity), a < b, of all alike classes.
+def star_links(reduced: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets: key, size, shingles) of the classes with an edge; (edges: a, b) with a < b, from centre to class; (links: a,
+    b, similarity), the edges that hold; and (left: key), the classes that share a bucket with one whose edge failed."""
+    members = cut(stars(reduced, threshold).distinct())
+    edges = cut(members.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
+    sets = cut(sets_of(edges.select(F.explode(F.array("a", "b")).alias("key")), reduced))
+    links = cut(verified(edges, sets, threshold))
+    failed = members.join(links.select(F.col("a").alias("centre"), F.col("b").alias("key"), F.lit(True).alias("held")), ["centre", "key"], "left")
+    by = failed.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("held").alias("held"), F.count("*").alias("n"))
+    open_ = by.filter("least <> most and held < n").select("bucket")
+    return sets, edges, links, cut(members.join(open_, "bucket", "left_semi").select("key").distinct())
 
-    Only classes with a candidate have their sets moved, and only once.
-    """
-    pairs = cut(candidate_pairs(reduced, threshold))
-    return cut(verified(pairs, cut(sets_of(pairs, reduced)), threshold))
+
+def similar_classes(reduced: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b, similarity), a < b, of all alike classes."""
+    sets, edges, links, left = star_links(reduced, threshold)
+    x, y = (links.select(F.col("a").alias("centre"), F.col("b").alias(n)) for n in "xy")
+    beside = x.join(y, "centre").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    more = beside.unionByName(prefix_pairs(sets.join(left, "key", "left_semi"), threshold)).distinct().join(edges, ["a", "b"], "left_anti")
+    return cut(links.unionByName(verified(more, sets, threshold)))
 
 
-def reduce_and_link(df: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(members: id, key), each once, and (links: a, b, similarity) of their classes."""
-    reduced = cut(reduce_texts(df, id_col, text_col, words, banded=False))
-    return reduced.select("id", "key").distinct(), similar_classes(reduced, threshold)
+def linked_classes(reduced: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b) that join all alike classes to the same components as ``similar_classes``: the links to centres, and of
+    the classes that these leave open the pairs from different components."""
+    sets, edges, links, left = star_links(reduced, threshold)
+    known = cut(connected_components(links))
+    at = {n: known.select(F.col("node").alias(n), F.col("component").alias(f"{n}_in")) for n in "ab"}
+    more = prefix_pairs(sets.join(left, "key", "left_semi"), threshold).join(edges, ["a", "b"], "left_anti")
+    more = more.join(at["a"], "a", "left").join(at["b"], "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+    return cut(links.select("a", "b").unionByName(verified(more, sets, threshold).select("a", "b")))
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str = "content", words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -274,8 +331,8 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str
     several texts pairs by each of them, with its greatest similarity. An empty table gives an empty one. The
     result holds every pair of a group, as its definition asks; ``near_duplicate_groups`` expands no copies.
     """
-    members, links = reduce_and_link(df, id_col, text_col, words, threshold)
-    members = cut(members)
+    reduced = cut(reduce_texts(df, id_col, text_col, words))
+    members, links = cut(reduced.select("id", "key").distinct()), similar_classes(reduced, threshold)
     a, b = (members.select(F.col("id").alias(f"id_{x}"), F.col("key").alias(x)) for x in "ab")
     across = links.join(a, "a").join(b, "b").select("id_a", "id_b", "similarity")
     within = a.join(b.withColumnRenamed("b", "a"), "a").filter("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
@@ -289,10 +346,21 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "chunk_id", text_col: str
     class_id is the smallest id with an equal shingle set, group_id the smallest id of the connected component of
     links. Copies are not expanded into pairs. Of an id with several texts the least class counts.
     """
-    members, links = reduce_and_link(df, id_col, text_col, words, threshold)
-    members = cut(members.groupBy("id").agg(F.min("key").alias("key")))
-    components = connected_components(links)
+    reduced = cut(reduce_texts(df, id_col, text_col, words))
+    members = cut(reduced.groupBy("id").agg(F.min("key").alias("key")))
+    components = connected_components(linked_classes(reduced, threshold))
     classes = members.groupBy("key").agg(F.min("id").alias("class_id"))
     classes = classes.join(components.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     groups = classes.groupBy("component").agg(F.min("class_id").alias("group_id"))
     return members.join(classes.join(groups, "component"), "key").select("id", "class_id", "group_id")
+
+
+def near_duplicate_links(df: DataFrame, id_col: str = "chunk_id", text_col: str = "content", words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Rows (id, class_id, n_copies, n_links), one for each id with shingles: its class as in ``near_duplicate_groups``, how
+    many other ids have an equal set, and to how many other classes it is alike. Of an id with several texts the least
+    class counts; no copies are expanded into pairs."""
+    reduced = cut(reduce_texts(df, id_col, text_col, words))
+    members = cut(reduced.groupBy("id").agg(F.min("key").alias("key")))
+    degree = similar_classes(reduced, threshold).select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    classes = members.groupBy("key").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("n_copies")).join(degree, "key", "left")
+    return members.join(classes, "key").select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))

@@ -50,6 +50,11 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, folder, "chunks")).withColumnRenamed("id", "chunk_id")
 
 
+def p6_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, copies and number of links of every chunk with at least five words, at a similarity of 0.8."""
+    return near_duplicates.near_duplicate_links(table(spark, folder, "chunks")).withColumnRenamed("id", "chunk_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of near-duplicate chunks."""
     pairs = near_duplicates.near_duplicate_pairs(table(spark, folder, "chunks"), words=P6_WORDS, threshold=P6_SIMILARITY)
@@ -90,7 +95,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p5_found, p5_origins, p6_found, p6_groups, p7_ids, p8_found, p8_bins, p9_found, p9_languages, p9_stretches)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p5_found, p5_origins, p6_found, p6_groups, p6_links, p7_ids, p8_found, p8_bins, p9_found, p9_languages, p9_stretches)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -74,7 +74,8 @@ def test_pairs_in_a_boilerplate_family(spark):
 def test_copies_stay_linear(spark):
     frame = spark.createDataFrame([(i, "alpha beta gamma delta epsilon zeta") for i in range(3000)], "chunk_id long, content string")
     reduced = near_duplicates.reduce_texts(frame, "chunk_id", "content", 5)
-    assert reduced.filter("size(bands) > 0").count() <= 8
+    assert reduced.filter("size(shingles) > 0").count() <= 8
+    assert near_duplicates.near_duplicate_links(frame).filter("class_id = 0 and n_copies = 2999 and n_links = 0").count() == 3000
     groups = near_duplicates.near_duplicate_groups(frame)
     assert groups.count() == 3000 and groups.filter("class_id = 0 and group_id = 0").count() == 3000
 
@@ -84,6 +85,31 @@ def test_empty_pairs(spark):
     assert near_duplicates.near_duplicate_pairs(frame).count() == 0 and near_duplicates.near_duplicate_groups(frame).count() == 0
 
 
+def test_rows_of_a_band():
+    assert near_duplicates.rows_of(0.6) == 3 and near_duplicates.rows_of(0.8) == 4 and near_duplicates.rows_of(0.01) == 1
+
+
+def test_hot_buckets_give_the_same_stars(spark):
+    frame = spark.createDataFrame(list(enumerate(_family(100))), "chunk_id long, content string")
+    reduced = near_duplicates.cut(near_duplicates.reduce_texts(frame, "chunk_id", "content", 3))
+    plain = {tuple(r) for r in near_duplicates.stars(reduced, 0.6).collect()}
+    assert near_duplicates.hot_buckets(reduced, 0.6, 0.001, 3) and not near_duplicates.hot_buckets(reduced, 0.6)
+    assert {tuple(r) for r in near_duplicates.stars(reduced, 0.6, 0.001, 3).collect()} == plain
+
+
+def test_links(spark):
+    texts = [t for t in _texts() if t]
+    frame = spark.createDataFrame([*enumerate(texts), (900, texts[0])], "chunk_id long, content string")
+    got = {r.id: r for r in near_duplicates.near_duplicate_links(frame, words=3, threshold=0.6).collect()}
+    sets = [frozenset(s) for s in _sets([*texts, texts[0]], 3)]
+    known = {s for s in sets if s}
+    ids = [*range(len(texts)), 900]
+    for i, s in zip(ids, sets, strict=True):
+        if s:
+            assert got[i].n_copies == sets.count(s) - 1
+            assert got[i].n_links == sum(len(s & o) >= 0.6 * len(s | o) for o in known if o != s)
+
+
 def test_signatures_estimate_similarity():
     a, b = np.arange(0, 2000), np.arange(500, 2500)
     rng = np.random.default_rng(1)
