@@ -29,10 +29,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = ways.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        now = cut(small)
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
+        now = cut(small, now, rows=F.count("*"), mark=F.bit_xor(F.xxhash64("u", "v")))
+        if now.observed == before:
             break
-        before = state
+        before = now.observed
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()

@@ -13,7 +13,7 @@ from contextlake.sources.tables import table
 
 
 def _chains(spark: SparkSession, folder: str) -> DataFrame:
-    return cut(forest.chains(forest.module_links(table(spark, folder, "dependencies"), table(spark, folder, "files"))))
+    return forest.chains(forest.module_links(table(spark, folder, "dependencies"), table(spark, folder, "files")))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,7 +23,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
     """The path of file ids from the root to every file of a module tree."""
-    return forest.paths(_chains(spark, folder)).select(F.col("node").alias("file_id"), F.array_join("path", "/").alias("path"))
+    return forest.paths(cut(_chains(spark, folder))).select(F.col("node").alias("file_id"), F.array_join("path", "/").alias("path"))
 
 
 def p2_intervals(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +33,7 @@ def p2_intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
     """Every file of a module tree with every file beneath it."""
-    found = forest.descendants(forest.paths(_chains(spark, folder)))
+    found = forest.descendants(cut(_chains(spark, folder)))
     return found.select(F.col("node").alias("file_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
@@ -62,6 +62,14 @@ r AS (
 )
 """
 
+_WALK = """, sz AS (SELECT a AS node, count(*) AS size FROM (SELECT unnest(up) AS a FROM r) GROUP BY 1),
+k AS (SELECT s, t, size, row_number() OVER (PARTITION BY s ORDER BY size DESC, t) AS hn FROM e JOIN sz ON node = t),
+o AS (
+    SELECT t AS node, CASE WHEN hn = 1 THEN 1 ELSE 1 + max(CASE WHEN hn = 1 THEN size END) OVER (PARTITION BY s)
+        + coalesce(sum(CASE WHEN hn > 1 THEN size END) OVER (PARTITION BY s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS step FROM k
+), w AS (SELECT u.node, CAST(coalesce(sum(step), 0) AS BIGINT) AS first FROM (SELECT node, unnest(up) AS a FROM r) u LEFT JOIN o ON o.node = u.a GROUP BY 1)
+"""
+
 _NORMAL = "list_reduce(string_split({}, '/'), lambda a, x: CASE WHEN x IN ('', '.') THEN a WHEN x = '..' AND a <> '' AND a <> '..' AND NOT ends_with(a, '/..') THEN regexp_replace(a, '/?[^/]+$', '') WHEN a = '' THEN x ELSE a || '/' || x END, '')"
 
 _FAULTS = f"""
@@ -95,10 +103,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Their SQL; the interval of a walk is tested against the paths instead."""
+    """Their SQL."""
     return {
         "p2_found": _TREE + "SELECT node AS file_id, root AS root_file_id, depth AS tree_depth FROM r UNION ALL SELECT node, -1, -1 FROM n WHERE node NOT IN (SELECT node FROM r)",
         "p2_paths": _TREE + "SELECT node AS file_id, path FROM r UNION ALL SELECT node, NULL FROM n WHERE node NOT IN (SELECT node FROM r)",
+        "p2_intervals": _TREE + _WALK + "SELECT r.node AS file_id, root AS root_file_id, size, first, first + size - 1 AS last FROM r JOIN sz ON sz.node = r.node JOIN w ON w.node = r.node UNION ALL SELECT node, -1, -1, -1, -1 FROM n WHERE node NOT IN (SELECT node FROM r)",
         "p2_descendants": _TREE + "SELECT file_id, node AS descendant_id, len(up) - pos AS distance FROM (SELECT node, up, unnest(up) AS file_id, unnest(range(1, len(up) + 1)) AS pos FROM r) WHERE file_id <> node",
         "p4_found": _FAULTS + "SELECT source_file_id, target_path, kind FROM g WHERE kind IS NOT NULL",
         "p4_report": _FAULTS + "SELECT kind, strftime(source_at, '%Y-%m') AS period, count(*) AS n FROM g WHERE kind IS NOT NULL GROUP BY 1, 2",

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Settings of a session that this package creates itself; an existing session is taken as it is.
 SESSION_CONF = {
@@ -50,19 +50,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *replaces: DataFrame, **observed: Column) -> DataFrame:
     """Write ``df`` as a table to the shared checkpoint folder and go on from there.
 
     A lost executor then costs no rerun of what led to it. A written table is taken rather than ``checkpoint()``, as
     that keeps the size estimates of the plan that it cuts: in loops of joins these multiply without bound, while a
-    table has the size of its files, so that small ones are broadcast. The folder goes when the session's JVM ends.
+    table has the size of its files, so that small ones are broadcast. Tables that the new one ``replaces`` are deleted
+    once it is written, as in loops; all others go when the session's JVM ends. Aggregates named in ``observed`` are
+    computed by the same job and stand in ``observed`` of the result; a task that runs twice may count twice in them.
     """
-    spark = df.sparkSession
+    spark, seen = df.sparkSession, Observation()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/contextlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.observe(seen, *[c.alias(n) for n, c in observed.items()]) if observed else df).write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path, table.observed = path, seen.get if observed else {}
+    release(*replaces)
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written; frames that read them can't be used any more."""
+    for table in tables:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def test_trees(spark, kind):
             up.append(parent[up[-1]])
         assert paths[node] == up[::-1]
     at = {(r.root, r.first): r.node for r in chained.itertuples() if r.root != -1}
-    below = {(r.node, r.descendant) for r in forest.descendants(forest.paths(frame)).collect()}
+    below = {(r.node, r.descendant) for r in forest.descendants(frame).collect()}
     for r in chained.itertuples():
         if r.root != -1:
             interval = {at[r.root, k] for k in range(r.first, r.last + 1)} - {r.node}
@@ -59,7 +59,7 @@ def test_trees(spark, kind):
 def test_empty(spark):
     empty = spark.createDataFrame([], "p long, c long")
     chained = forest.chains(forest.links(empty, "p", "c"))
-    assert chained.count() == 0 and forest.paths(chained).count() == 0
+    assert chained.count() == 0 and forest.paths(chained).count() == 0 and forest.descendants(chained).count() == 0
 
 
 def test_module_links_need_files(spark):
