@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextlake.functions.paths import dirname, normal_path
-from contextlake.operators.orphans import resolve_relative
+from contextlake.operators.orphans import resolve_relative, salted_left_join
 from contextlake.session import cut
 
 #: What an import looks like in each family of languages, in order of precedence; group 1 is the target.
@@ -49,7 +49,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``imports`` (from_path, target_path) with target_file_id: of relative targets the first candidate that exists,
     else null. ``files`` needs file_id, path and indexed_at with normal paths."""
     based = imports.withColumn("base", F.when(_relative(F.col("target_path")), normal_path(F.concat(dirname(F.col("from_path")), F.lit("/"), F.col("target_path")))))
-    return based.join(resolve_relative(based, files), "base", "left").select(*imports.columns, F.col("found_id").alias("target_file_id"))
+    found = salted_left_join(based, resolve_relative(based, files), "base", ["from_path", "target_path"])
+    return found.select(*imports.columns, F.col("found_id").alias("target_file_id"))
 
 
 def edges(dependencies: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """References to records that don't exist, that were removed, or that came later.
 
 Method: the keys of parents and children are put into one long table of tagged rows and combined by parent table and
-key; keys without a parent's flag are the missing ones. Combining is map-side, so a key that holds a third of all
-references is one row for each task, and only keys go through the shuffle.
-
-Scale: what a reference needs to know of its key comes back by joins whose one side is a table of distinct keys. The
-combined table also tells which keys are hot: at most ``1 / HOT_SHARE`` keys hold more than that share of all
-references. Only these are salted, references by a hash of their other fields, keys by repetition; all other keys stay
-single. The join on resolved paths is left to AQE, which may split its probe side as the other has distinct keys.
+key; keys without a parent's flag are the missing ones. That is done for the ids that references hold, against files
+and removed files, and for the paths that relative references may mean, against the paths of files. Faults are summed
+by parent table, kind and period. Combining is map-side, so a key that holds a third of all references is one row for
+each task, and only keys go through the shuffle.
+
+Scale: what a reference needs to know of its key comes back by joins whose one side is a table of distinct keys. At most
+``1 / HOT_SHARE`` keys hold more than that share of the rows; these alone are salted, rows by a hash of their other
+fields, keys by repetition. Rows without a key meet nothing and are spread over all partitions.
 """
 
 from __future__ import annotations
@@ -25,29 +26,43 @@ HOT_SHARE, SALTS = 0.001, 64
 IMPORT_ENDINGS = ["", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", ".java", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", "/index.mjs"]
 
 
-def salted_left_join(rows: DataFrame, keys: DataFrame, key: str, hot: DataFrame, spread_by: list[str], salts: int = SALTS) -> DataFrame:
-    """``rows`` with the columns of ``keys`` (one row for each ``key``); ``hot`` (``key``, distinct) names the keys that
-    many rows share, and is short enough to broadcast by its definition."""
-    marked = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """The keys that more than ``share`` of the rows with a key hold; at most ``1 / share`` of them."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).filter(F.col("_n") > F.greatest(F.lit(1), F.col("_all") * share)).select(key)
+
+
+def salted_left_join(rows: DataFrame, keys: DataFrame, key: str, spread_by: list[str], hot: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
+    """``rows`` with the columns of ``keys`` (one row for each ``key``), null where there is none.
+
+    ``hot`` (``key``, distinct) names the keys that many rows share, ``hot_keys`` by default, and is short enough to
+    broadcast by its definition. Rows with a null key stand by themselves, wherever a hash of ``spread_by`` puts them.
+    """
+    marked = F.broadcast((hot_keys(rows, key) if hot is None else hot).select(key).withColumn("_hot", F.lit(True)))
+    anywhere = F.xxhash64(*spread_by)
+    salt = F.when(F.col(key).isNull(), anywhere).when(F.col("_hot"), F.pmod(anywhere, F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
     dealt = rows.join(marked, key, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    none = F.lit(0).cast("bigint")
+    copies = F.when(F.col("_hot"), F.sequence(none, none + (salts - 1))).otherwise(F.array(none))
     repeated = keys.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return dealt.join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
 def key_flags(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Combine tagged keys: ``children`` (parent_table, key), ``parents`` (parent_table, key, flag, at).
+    """Combine tagged keys: ``children`` (parent_table, key), ``parents`` (parent_table, key, flag, id, at).
 
-    Rows (parent_table, key, n_children, flags, at): the number of references, which parents know the key, and the
-    latest of their times.
+    Rows (parent_table, key, n_children, flags, parent): the number of references, which parents know the key, and
+    (id, at) of the parent with the smallest id; null where no parent has one.
     """
-    long = children.select("parent_table", "key", F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("flag"), F.lit(None).cast("timestamp").alias("at"))
-    long = long.unionByName(parents.select("parent_table", "key", F.lit(0).cast("bigint").alias("n"), F.col("flag").cast("int").alias("flag"), F.col("at").cast("timestamp").alias("at")))
-    return long.groupBy("parent_table", "key").agg(F.sum("n").alias("n_children"), F.bit_or("flag").alias("flags"), F.max("at").alias("at"))
+    nothing = [F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("timestamp").alias("at")]
+    long = children.select("parent_table", "key", F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("flag"), *nothing)
+    long = long.unionByName(parents.select("parent_table", "key", F.lit(0).cast("bigint").alias("n"), F.col("flag").cast("int").alias("flag"), F.col("id").cast("bigint").alias("id"), F.col("at").cast("timestamp").alias("at")))
+    return long.groupBy("parent_table", "key").agg(F.sum("n").alias("n_children"), F.bit_or("flag").alias("flags"), F.min_by(F.struct("id", "at"), "id").alias("parent"))
 
 
 _FILE, _REMOVED = 1, 2
+#: The parent tables of references by id and by path.
+_BY_ID, _BY_PATH = "files", "files.path"
 
 
 def _latest_files(files: DataFrame) -> DataFrame:
@@ -63,47 +78,55 @@ def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
     file paths the smallest file_id counts.
     """
     bases = imports.select("base").dropna().distinct()
-    candidates = bases.select("base", F.posexplode(F.array(*map(F.lit, IMPORT_ENDINGS))).alias("rank", "ending")).select("base", "rank", F.concat("base", "ending").alias("path"))
-    paths = files.filter("path is not null").groupBy("path").agg(F.min_by(F.struct("file_id", "indexed_at"), "file_id").alias("file"))
-    return candidates.join(paths, "path").groupBy("base").agg(F.min_by("file", "rank").alias("file")).select("base", F.col("file.file_id").alias("found_id"), F.col("file.indexed_at").alias("found_at"))
+    candidates = bases.select("base", F.posexplode(F.array(*map(F.lit, IMPORT_ENDINGS))).alias("rank", "ending")).select("base", "rank", F.concat("base", "ending").alias("key"))
+    paths = files.filter("path is not null").select(F.lit(_BY_PATH).alias("parent_table"), F.col("path").alias("key"), F.lit(_FILE).alias("flag"), F.col("file_id").alias("id"), F.col("indexed_at").alias("at"))
+    there = key_flags(candidates.select(F.lit(_BY_PATH).alias("parent_table"), "key"), paths).filter((F.col("n_children") > 0) & (F.col("flags") != 0))
+    return candidates.join(there.select("key", "parent"), "key").groupBy("base").agg(F.min_by("parent", "rank").alias("file")).select("base", F.col("file.id").alias("found_id"), F.col("file.at").alias("found_at"))
 
 
 def faulty_references(dependencies: DataFrame, files: DataFrame, removed_files: DataFrame) -> DataFrame:
-    """Rows (source_file_id, target_path, kind, period) of the references at fault, each (source, path) once.
+    """Rows (source_file_id, target_path, kind, parent_table, period) of the references at fault, each (source, path) once.
 
     kind is the first that holds: source_missing; for a target id that isn't among the files target_removed or
-    target_missing; for a relative path without a target id path_missing or target_late. period is the month of the
-    source file's indexed_at, null if the source is missing or has none. Rows with a null source_file_id count as
-    source_missing; other null targets, also null target_paths, are at no fault. Of several target ids of one reference
-    the smallest non-null one counts. Dirty paths are compared in normal form; a source without a path counts as
-    one at the root.
+    target_missing; for a relative path without a target id path_missing or target_late. parent_table is where the
+    reference leads: files by their id, or files.path. period is the month of the source file's indexed_at, null if the
+    source is missing or has none. Rows with a null source_file_id count as source_missing; other null targets, also
+    null target_paths, are at no fault. Of several target ids of one reference the smallest non-null one counts. Dirty
+    paths are compared in normal form; a source without a path counts as one at the root.
     """
-    refs = dependencies.groupBy("source_file_id", "target_path").agg(F.min("target_file_id").alias("target_file_id"))
-    latest = _latest_files(files).withColumn("path", normal_path(F.col("path")))
-
-    child = lambda c: dependencies.filter(F.col(c).isNotNull()).select(F.lit("files").alias("parent_table"), F.col(c).alias("key"))
-    file_keys = latest.select(F.lit("files").alias("parent_table"), F.col("file_id").alias("key"), F.lit(_FILE).alias("flag"), F.col("indexed_at").alias("at"))
-    gone = removed_files.filter("file_id is not null").select(F.lit("files").alias("parent_table"), F.col("file_id").alias("key"), F.lit(_REMOVED).alias("flag"), F.lit(None).cast("timestamp").alias("at"))
-    flags = cut(key_flags(child("source_file_id").unionByName(child("target_file_id")), file_keys.unionByName(gone)).filter("n_children > 0"))
-    hot = flags.filter(F.col("n_children") > max(1, 2 * dependencies.count() * HOT_SHARE)).select("key")
-    lacking = flags.filter((F.col("flags").bitwiseAND(_FILE)) == 0).select(F.col("key").alias("target_file_id"), F.col("flags").alias("target_flags"))
-
-    sources = latest.select(F.col("file_id").alias("source_file_id"), F.col("path").alias("source_path"), F.col("indexed_at").alias("source_at"), F.lit(True).alias("source_there"))
-    known = salted_left_join(refs, sources, "source_file_id", hot.withColumnRenamed("key", "source_file_id"), ["target_path"])
-    known = salted_left_join(known, lacking, "target_file_id", hot.withColumnRenamed("key", "target_file_id"), ["source_file_id", "target_path"])
-    relative = F.col("target_file_id").isNull() & F.col("target_path").rlike(r"^\.\.?/") & F.col("source_there")
-    known = known.withColumn("base", F.when(relative, normal_path(F.concat(dirname(F.col("source_path")), F.lit("/"), F.col("target_path")))))
-    every = known.join(resolve_relative(known, latest), "base", "left")
+    refs = cut(dependencies.groupBy("source_file_id", "target_path").agg(F.min("target_file_id").alias("target_file_id")))
+    latest = cut(_latest_files(files).withColumn("path", normal_path(F.col("path"))))
+
+    child = lambda c: dependencies.filter(F.col(c).isNotNull()).select(F.lit(_BY_ID).alias("parent_table"), F.col(c).alias("key"))
+    file_keys = latest.select(F.lit(_BY_ID).alias("parent_table"), F.col("file_id").alias("key"), F.lit(_FILE).alias("flag"), F.col("file_id").alias("id"), F.col("indexed_at").alias("at"))
+    gone = removed_files.filter("file_id is not null").select(F.lit(_BY_ID).alias("parent_table"), F.col("file_id").alias("key"), F.lit(_REMOVED).alias("flag"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("timestamp").alias("at"))
+    flags = key_flags(child("source_file_id").unionByName(child("target_file_id")), file_keys.unionByName(gone)).filter("n_children > 0")
+    lacking = cut(flags.filter(F.col("flags").bitwiseAND(_FILE) == 0).select("key", "flags"))
+
+    by_source = lacking.select(F.col("key").alias("source_file_id"), F.lit(True).alias("lost"))
+    known = salted_left_join(refs, by_source, "source_file_id", ["target_path"]).withColumn("lost", F.col("lost").isNotNull() | F.col("source_file_id").isNull())
+    by_target = lacking.select(F.col("key").alias("target_file_id"), F.col("flags").alias("target_flags"))
+    known = salted_left_join(known, by_target, "target_file_id", ["source_file_id", "target_path"])
+    relative = F.col("target_file_id").isNull() & F.col("target_path").rlike(r"^\.\.?/")
+    # Only these can be at fault, and only these need to know their source.
+    asked = known.filter(F.col("lost") | F.col("target_flags").isNotNull() | relative)
+    sources = latest.select(F.col("file_id").alias("source_file_id"), F.col("path").alias("source_path"), F.col("indexed_at").cast("timestamp").alias("source_at"))
+    asked = salted_left_join(asked, sources, "source_file_id", ["target_path"])
+    base = normal_path(F.concat(dirname(F.coalesce("source_path", F.lit(""))), F.lit("/"), F.col("target_path")))
+    asked = cut(asked.withColumn("base", F.when(relative & ~F.col("lost"), base)))
+    every = salted_left_join(asked, resolve_relative(asked, latest), "base", ["source_file_id", "target_path"])
     kind = (
-        F.when(F.col("source_there").isNull(), "source_missing")
+        F.when(F.col("lost"), "source_missing")
         .when(F.col("target_flags").bitwiseAND(_REMOVED) != 0, "target_removed")
         .when(F.col("target_flags").isNotNull(), "target_missing")
         .when(F.col("base").isNotNull() & F.col("found_id").isNull(), "path_missing")
         .when(F.col("base").isNotNull() & (F.col("found_at") > F.col("source_at")), "target_late")
     )
-    return every.select("source_file_id", "target_path", kind.alias("kind"), F.trunc(F.col("source_at").cast("date"), "month").alias("period")).filter("kind is not null")
+    where = F.when(F.col("base").isNotNull(), _BY_PATH).otherwise(_BY_ID)
+    return every.select("source_file_id", "target_path", kind.alias("kind"), where.alias("parent_table"), F.trunc(F.col("source_at").cast("date"), "month").alias("period")).filter("kind is not null")
 
 
 def fault_report(faults: DataFrame) -> DataFrame:
-    """Rows (kind, period, n): the faults of each kind and month; a null period is one of its own."""
-    return faults.groupBy("kind", "period").agg(F.count("*").alias("n"))
+    """Rows (parent_table, kind, period, n): the faults of each parent table, kind and month; a null period is one of its
+    own."""
+    return faults.groupBy("parent_table", "kind", "period").agg(F.count("*").alias("n"))

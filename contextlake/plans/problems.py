@@ -47,7 +47,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Faults of each kind and month of the source file."""
+    """Faults of each parent table, kind and month of the source file."""
     return orphans.fault_report(_faults(spark, folder)).withColumn("period", F.date_format("period", "yyyy-MM"))
 
 
@@ -83,7 +83,7 @@ k AS (
 ), b AS (
     SELECT *, CASE WHEN target_file_id IS NULL AND source_there AND (target_path LIKE './%' OR target_path LIKE '../%')
         THEN {_NORMAL.format("CASE WHEN source_path LIKE '%/%' THEN regexp_replace(source_path, '/[^/]*$', '') ELSE '.' END || '/' || target_path")} END AS base FROM k
-), x AS (SELECT unnest(['', '.js', '.ts', '.jsx', '.tsx', '.mjs', '.cjs', '.java', '/index.js', '/index.ts', '/index.jsx', '/index.tsx', '/index.mjs']) AS ending, unnest(range(13)) AS rank),
+), x AS (SELECT unnest({list(orphans.IMPORT_ENDINGS)}) AS ending, unnest(range({len(orphans.IMPORT_ENDINGS)})) AS rank),
 p AS (SELECT path, arg_min(indexed_at, file_id) AS found_at FROM l GROUP BY path),
 f AS (SELECT base, first(found_at ORDER BY rank) AS found_at FROM (SELECT DISTINCT base FROM b WHERE base IS NOT NULL) CROSS JOIN x JOIN p ON p.path = base || ending GROUP BY base),
 g AS (
@@ -110,5 +110,5 @@ def oracle_sql() -> dict[str, str]:
         "p2_intervals": _TREE + _WALK + "SELECT r.node AS file_id, root AS root_file_id, size, first, first + size - 1 AS last FROM r JOIN sz ON sz.node = r.node JOIN w ON w.node = r.node UNION ALL SELECT node, -1, -1, -1, -1 FROM n WHERE node NOT IN (SELECT node FROM r)",
         "p2_descendants": _TREE + "SELECT file_id, node AS descendant_id, len(up) - pos AS distance FROM (SELECT node, up, unnest(up) AS file_id, unnest(range(1, len(up) + 1)) AS pos FROM r) WHERE file_id <> node",
         "p4_found": _FAULTS + "SELECT source_file_id, target_path, kind FROM g WHERE kind IS NOT NULL",
-        "p4_report": _FAULTS + "SELECT kind, strftime(source_at, '%Y-%m') AS period, count(*) AS n FROM g WHERE kind IS NOT NULL GROUP BY 1, 2",
+        "p4_report": _FAULTS + "SELECT CASE WHEN kind IN ('path_missing', 'target_late') THEN 'files.path' ELSE 'files' END AS parent_table, kind, strftime(source_at, '%Y-%m') AS period, count(*) AS n FROM g WHERE kind IS NOT NULL GROUP BY 1, 2, 3",
     }

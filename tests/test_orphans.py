@@ -31,7 +31,7 @@ def test_faults(spark):
         (4, "./d"): ("path_missing", "None"),
     }
     report = orphans.fault_report(orphans.faulty_references(deps, files, gone))
-    assert sum(r.n for r in report.collect()) == len(got)
+    assert sum(r.n for r in report.collect()) == len(got) and {r.parent_table for r in report.collect()} == {"files", "files.path"}
 
 
 def test_empty(spark):
@@ -49,10 +49,26 @@ def test_resolution_order(spark):
 def test_hot_key_join(spark):
     rows = spark.createDataFrame([(1 if i % 3 else i, f"p{i}") for i in range(300)] + [(None, "n")], "k long, p string")
     keys = spark.createDataFrame([(1, "one"), (3, "three")], "k long, v string")
-    got = orphans.salted_left_join(rows, keys, "k", spark.createDataFrame([(1,)], "k long"), ["p"])
+    got = orphans.salted_left_join(rows, keys, "k", ["p"], spark.createDataFrame([(1,)], "k long"))
+    assert {r.k for r in orphans.hot_keys(rows, "k", 0.1).collect()} == {1}
     assert got.count() == 301 and got.filter("v = 'one'").count() == 200 and got.filter("v = 'three'").count() == 1
 
 
+def test_null_and_hot_keys_are_spread(spark):
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(kept, ("false", "-1", "16"), strict=True):
+            spark.conf.set(c, v)
+        rows = spark.range(12_000).select(F.when(F.col("id") % 10 == 0, F.lit(5)).when(F.col("id") % 100 == 1, F.col("id")).alias("k"), "id")
+        keys = spark.range(2_000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+        joined = orphans.salted_left_join(rows, keys, "k", ["id"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 12_000 and max(sizes) < 3 * 12_000 / 16
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
 def test_paths(spark):
     cases = {"a/./b/../c": "a/c", "../a": "../a", "a/../../b": "../b", ".\\x\\y": "x/y", "": "", "a//b/": "a/b", "../../a/..": "../.."}
     frame = spark.createDataFrame([(k,) for k in cases], "p string")
