@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contextlake.operators.numbering import numbered
+from contextlake.session import cut
+
 #: Fixed values of the layers.
 BUDGET = 40_000
 WEIGHTS = {"fixed": 0.1, "short_term": 0.3, "associative": 0.4, "spare": 0.2}
@@ -14,6 +17,8 @@ LEAST_SPARE = 500
 ACTIVE_SHARE = 0.7
 TREE_DEPTH = 3
 RELATED_SCORE = 0.8
+#: Items that the greedy filling looks at in one go.
+FILL_BLOCK = 1000
 #: Lines of the stretches that long files are summed up in.
 STRETCH_LINES = 256
 #: Fixed value: sections in the order of the output.
@@ -59,17 +64,25 @@ def prefix_fill_files(chunks: DataFrame, budget: int, tokens: str = "token_count
 def greedy_fill(items: DataFrame, budget: int, tokens: str = "tokens", rank: str = "rank") -> DataFrame:
     """The items, by rank, that still fit when their turn comes; what doesn't fit is skipped.
 
-    For short ranked lists, as it folds over one array; negative and null sizes count as 0.
+    Null and negative sizes count as 0; such items take no room and are all kept. The others are taken in blocks of the
+    ``FILL_BLOCK`` next ones that fit what is left, so the driver holds one block; as every block's first item is kept,
+    and each takes a token at least, what is kept is bounded by the budget and so may be broadcast.
     """
-    size = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("bigint").alias("size")
-    ordered = items.agg(F.array_sort(F.collect_list(F.struct(F.col(rank).cast("bigint").alias("rank"), size))).alias("all"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(done: Column, item: Column) -> Column:
-        return F.when(done["used"] + item["size"] <= budget, F.struct((done["used"] + item["size"]).alias("used"), F.concat(done["kept"], F.array(item["rank"])).alias("kept"))).otherwise(done)
-
-    kept = ordered.select(F.explode(F.aggregate("all", start, step)["kept"]).alias("_rank"))
-    return items.join(F.broadcast(kept), F.col(rank) == F.col("_rank"), "left_semi")
+    size = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("bigint")
+    items, kept, left, last = cut(items), [], budget, None
+    while left > 0:
+        fits = items.select(F.col(rank).cast("bigint").alias("rank"), size.alias("size")).filter(F.col("size").between(1, left))
+        block = (fits if last is None else fits.filter(F.col("rank") > last)).orderBy("rank").limit(FILL_BLOCK).collect()
+        for item in block:
+            if item["size"] <= left:
+                kept.append(item["rank"])
+                left -= item["size"]
+        if len(block) < FILL_BLOCK:
+            break
+        last = block[-1]["rank"]
+    ranks = items.sparkSession.createDataFrame([(r,) for r in kept], "_rank bigint")
+    free = items.filter((size == 0) & F.lit(budget >= 0))
+    return free.unionByName(items.filter(size > 0).join(F.broadcast(ranks), F.col(rank) == F.col("_rank"), "left_semi"))
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:
@@ -129,16 +142,20 @@ def render_tree(paths: list[str], max_depth: int = TREE_DEPTH) -> str:
 
 
 def related_items(hits: DataFrame, dep_chunks: DataFrame) -> DataFrame:
-    """Hits (chunk_id, path, start_line, tokens, score) and, below them, the chunks of dependencies.
+    """Hits (chunk_id, path, start_line, tokens, score), a short list, and, below them, the chunks of dependencies, of
+    which there may be any number.
 
     These score ``RELATED_SCORE`` of the last hit, or 1 without hits; a place (path, start_line) that a hit holds
     isn't repeated. The result has rank by falling score, hits before dependencies, then by id.
     """
-    last = hits.agg(F.coalesce(F.min("score") * RELATED_SCORE, F.lit(1.0)).alias("score"))
-    extra = dep_chunks.join(hits.select("path", "start_line"), ["path", "start_line"], "left_anti")
-    extra = extra.groupBy("path", "start_line").agg(F.min(F.struct("chunk_id", "tokens")).alias("x")).select("path", "start_line", "x.*").crossJoin(F.broadcast(last))
-    both = hits.select("chunk_id", "path", "start_line", "tokens", "score", F.lit(0).alias("part")).unionByName(extra.select("chunk_id", "path", "start_line", "tokens", "score", F.lit(1).alias("part")))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "part", "chunk_id"))).drop("part")
+    hits = cut(hits)
+    extra = dep_chunks.join(F.broadcast(hits.select("path", "start_line")), ["path", "start_line"], "left_anti")
+    extra = extra.groupBy("path", "start_line").agg(F.min(F.struct("chunk_id", "tokens")).alias("x")).select("path", "start_line", "x.*")
+    count, least = hits.agg(F.count("*"), F.min("score")).first()
+    score = F.lit(1.0 if least is None else least * RELATED_SCORE)
+    first = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "chunk_id")).cast("bigint"))
+    names = ["chunk_id", "path", "start_line", "tokens", "score", "rank"]
+    return first.select(names).unionByName(numbered(extra, "chunk_id", start=count, name="rank").withColumn("score", score).select(names))
 
 
 def layer_summary(items: DataFrame) -> DataFrame:

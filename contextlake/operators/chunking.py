@@ -61,10 +61,6 @@ class Chunk(NamedTuple):
     end: int
     content: str
 
-    @property
-    def tokens(self) -> int:
-        return tokens_of(self.content)
-
 
 def tokens_of(text: str, chars_per_token: float = CHARS_PER_TOKEN) -> int:
     """Tokens of a text by its length, rounded up."""
@@ -93,8 +89,8 @@ def indent_end(lines: list[str], start: int) -> int:
 
 
 class _File:
-    def __init__(self, content: str, family: str):
-        self.lines, self.family = content.split("\n"), family
+    def __init__(self, content: str, family: str, chars_per_token: float = CHARS_PER_TOKEN):
+        self.lines, self.family, self.chars_per_token = content.split("\n"), family, chars_per_token
         self.used = [False] * len(self.lines)
 
     def text(self, start: int, end: int) -> str:
@@ -122,7 +118,7 @@ class _File:
                 runs.append([at])
         for run in runs:
             text = "\n".join(self.lines[at] for at in run).strip()
-            if len(text) > REST_CHARS and tokens_of(text) > REST_TOKENS:
+            if len(text) > REST_CHARS and tokens_of(text, self.chars_per_token) > REST_TOKENS:
                 yield Chunk(kind, name, (start if whole else run[0]) + 1, (end if whole else run[-1]) + 1, text)
 
     def use(self, start: int, end: int) -> None:
@@ -147,25 +143,25 @@ class _File:
                 continue
             kind, name, end = block
             whole = Chunk(kind, name, at + 1, end + 1, self.text(at, end))
-            parts = self.members(at, end) if kind in CONTAINERS and whole.tokens > CONTAINER_TOKENS else []
+            parts = self.members(at, end) if kind in CONTAINERS and tokens_of(whole.content, self.chars_per_token) > CONTAINER_TOKENS else []
             found += [*parts, *self.rest(at, end, kind, name, whole=True)] if parts else [whole]
             self.use(at, end)
         return found
 
 
-def chunk_code(content: str, language: str) -> list[Chunk]:
+def chunk_code(content: str, language: str, chars_per_token: float = CHARS_PER_TOKEN) -> list[Chunk]:
     """The chunks of a file by start line; one for the whole file if its language is unknown or nothing else comes out."""
     whole = [Chunk("module", None, 1, content.count("\n") + 1, content)]
     family = FAMILY.get(language.lower())
     if not family:
         return whole
-    file = _File(content, family)
+    file = _File(content, family, chars_per_token)
     found = file.chunks()
     found += file.rest(0, len(file.lines) - 1)
     return sorted(found, key=lambda c: c.start) or whole
 
 
-def chunk_files(sources: DataFrame, id_col: str = "file_id", language: str = "language", content: str = "content") -> DataFrame:
+def chunk_files(sources: DataFrame, id_col: str = "file_id", language: str = "language", content: str = "content", chars_per_token: float = CHARS_PER_TOKEN) -> DataFrame:
     """Chunks (``CHUNK_SCHEMA``) of the files of ``sources``, a file at a time in Arrow batches, nothing shuffled.
 
     A null language counts as unknown; files with null or empty content have no chunk.
@@ -173,7 +169,7 @@ def chunk_files(sources: DataFrame, id_col: str = "file_id", language: str = "la
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, c.kind, c.name, c.start, c.end, c.content, c.tokens) for i, lang, text in zip(batch["i"], batch["l"], batch["c"], strict=True) for c in chunk_code(text, lang)]
+            rows = [(i, c.kind, c.name, c.start, c.end, c.content, tokens_of(c.content, chars_per_token)) for i, lang, text in zip(batch["i"], batch["l"], batch["c"], strict=True) for c in chunk_code(text, lang, chars_per_token)]
             yield pd.DataFrame(rows, columns=["file_id", "chunk_type", "name", "start_line", "end_line", "content", "token_count"])
 
     source = sources.filter(F.length(content) > 0).select(F.col(id_col).cast("bigint").alias("i"), F.coalesce(F.col(language), F.lit("")).alias("l"), F.col(content).alias("c"))

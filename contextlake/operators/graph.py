@@ -10,6 +10,7 @@ from contextlake.operators.orphans import resolve_relative, salted_left_join
 from contextlake.session import cut
 
 #: What an import looks like in each family of languages, in order of precedence; group 1 is the target.
+#: Word characters are spelt out, as the SQL that the queries are held against reads the same patterns.
 IMPORT_PATTERNS = {
     "js": [r"""import\s+(?:[A-Za-z0-9_{}\s,*]+\s+from\s+)?['"]([^'"]+)['"]""", r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""", r"""import\s*\(\s*['"]([^'"]+)['"]\s*\)"""],
     "py": [r"from\s+([A-Za-z0-9_.]+)\s+import", r"(?m)^import\s+([A-Za-z0-9_.]+)"],
@@ -25,24 +26,50 @@ def _relative(target: Column) -> Column:
     return target.startswith("./") | target.startswith("../")
 
 
+def _family(language: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair]), F.lower(language))
+
+
 def dep_type(target: Column, language: Column) -> Column:
     """import, use, mod or external, by language and form of the target."""
-    family = F.element_at(F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair]), F.lower(language))
+    family = _family(language)
     return F.when(family.isin("py", "go", "java"), "import").when(family == "rs", F.when(target.startswith("crate::"), "use").otherwise("mod")).when(_relative(target), "import").otherwise("external")
 
 
+def found_targets(content: Column) -> Column:
+    """The distinct non-empty import targets of a text in each family of languages: a map from family to targets."""
+    every = {f: F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in patterns]) for f, patterns in IMPORT_PATTERNS.items()}
+    return F.map_filter(F.create_map(*[x for f, found in every.items() for x in (F.lit(f), F.filter(F.array_distinct(found), lambda t: t != ""))]), lambda _, t: F.size(t) > 0)
+
+
+def typed_imports(targets: DataFrame, id_col: str, language: str = "language") -> DataFrame:
+    """Rows (id, position, target_path, dep_type) for ``targets`` (id, language, targets: array)."""
+    each = targets.select(F.col(id_col), F.col(language).alias("_language"), F.posexplode("targets").alias("position", "target_path"))
+    return each.select(id_col, F.col("position").cast("bigint").alias("position"), "target_path", dep_type(F.col("target_path"), F.col("_language")).alias("dep_type"))
+
+
 def extract_imports(sources: DataFrame, id_col: str = "file_id", language: str = "language", content: str = "content") -> DataFrame:
     """Rows (id, position, target_path, dep_type): the distinct imports of each source, the first of equal ones.
 
     Sources that are null or of another language give none. All on the JVM side.
     """
     found = F.array().cast("array<string>")
-    family = F.element_at(F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair]), F.lower(F.col(language)))
     for name, patterns in IMPORT_PATTERNS.items():
         every = F.concat(*[F.regexp_extract_all(F.col(content), F.lit(p), F.lit(1)) for p in patterns])
-        found = F.when(family == name, every).otherwise(found)
-    targets = sources.select(F.col(id_col), F.col(language).alias("_language"), F.posexplode(F.filter(F.array_distinct(found), lambda x: x != "")).alias("position", "target_path"))
-    return targets.select(id_col, F.col("position").cast("bigint").alias("position"), "target_path", dep_type(F.col("target_path"), F.col("_language")).alias("dep_type"))
+        found = F.when(_family(F.col(language)) == name, every).otherwise(found)
+    return typed_imports(sources.select(id_col, language, F.filter(F.array_distinct(found), lambda x: x != "").alias("targets")), id_col, language)
+
+
+def extract_chunk_imports(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (chunk_id, position, target_path, dep_type) for chunks (chunk_id, file_id, content) whose language stands in
+    ``files`` (file_id, language).
+
+    Texts are reduced to their targets in all families where they are read, so no text is shuffled; rows that repeat a
+    chunk_id count once.
+    """
+    made = chunks.filter("chunk_id is not null").select("chunk_id", "file_id", F.map_entries(found_targets(F.col("content"))).alias("found")).filter(F.size("found") > 0)
+    made = made.groupBy("chunk_id").agg(F.min("file_id").alias("file_id"), F.min("found").alias("found")).join(files.select("file_id", "language"), "file_id")
+    return typed_imports(made.select("chunk_id", "language", F.map_from_entries("found")[_family(F.col("language"))].alias("targets")), "chunk_id")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contextlake.functions.text import query_terms, term_frequency
 from contextlake.functions.vectors import cosine_similarity, l2_distance, literal_vector
+from contextlake.sources.model import current_chunks
 
 #: Fixed values of the ranking.
 K1, B = 1.2, 0.75
@@ -72,7 +73,7 @@ def top(scored: DataFrame, k: int, tie: str = "chunk_id", score: str = "score")
     return scored.orderBy(F.col(score).desc(), tie).limit(max(0, k))
 
 
-def search(chunks: DataFrame, files: DataFrame, query: str, top_k: int = TOP_K, language: str | None = None, prefetch_factor: int | None = None) -> DataFrame:
+def search(chunks: DataFrame, files: DataFrame, query: str, top_k: int = TOP_K, language: str | None = None, prefetch_factor: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 with bonuses over chunks (chunk_id, file_id, name, search_text) of known files (file_id, path, language).
 
     A query without terms finds nothing; an unknown language has an empty corpus. Rows that repeat a chunk_id count
@@ -88,7 +89,7 @@ def search(chunks: DataFrame, files: DataFrame, query: str, top_k: int = TOP_K,
     counted = term_counts(chunks.select("chunk_id", "file_id", "name", "search_text"), distinct)
     once = counted.filter("chunk_id is not null").groupBy("chunk_id").agg(*[F.min(c).alias(c) for c in ["file_id", "name", "dl", *(f"tf_{i}" for i in range(len(distinct)))]])
     corpus = once.join(known.select("file_id", "path", "language"), "file_id")
-    scored = score_counts(corpus, terms)
+    scored = score_counts(corpus, terms, k1, b)
     scored = with_bonuses(scored if prefetch_factor is None else top(scored, top_k * prefetch_factor), terms)
     return top(scored.select("chunk_id", "file_id", "path", "name", F.round("score", 6).alias("score")), top_k)
 
@@ -99,19 +100,27 @@ def document_frequency(corpus: DataFrame, terms: Sequence[str], text: str = "sea
     return stats.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"df_{i}").cast("bigint").alias("df"), F.col("n").cast("bigint").alias("n")) for i, t in enumerate(terms)])).alias("x")).select("x.*")
 
 
-def like_all(chunks: DataFrame, query: str, limit: int = TOP_K, text: str = "search_text") -> DataFrame:
-    """The cheapest chunks whose text is LIKE every word of the query; ``%`` and ``_`` in words are wildcards."""
+def like_all(chunks: DataFrame, query: str, limit: int = TOP_K, text: str = "search_text", keep: Sequence[str] = ("name",)) -> DataFrame:
+    """The cheapest chunks (chunk_id, token_count, ``keep``) whose text is LIKE every word of the query; ``%`` and ``_`` in
+    words are wildcards. Rows that repeat a chunk_id count once; only rows that match are compared or shuffled, and
+    without their text."""
     words = query.lower().split()
-    if not words:
-        return chunks.filter(F.lit(False))
-    found = chunks.filter(reduce(lambda a, b: a & b, [F.lower(F.col(text)).like(f"%{w}%") for w in words]))
+    found = chunks.filter(reduce(lambda a, b: a & b, [F.lower(F.col(text)).like(f"%{w}%") for w in words]) if words else F.lit(False))
+    found = current_chunks(found, "token_count", *keep)
     return found.orderBy(F.col("token_count").asc_nulls_first(), "chunk_id").limit(max(0, limit))
 
 
-def nearest(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
-    """The k vectors nearest to one query vector by exact Euclidean distance; those of another length don't count."""
+def nearest(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K, id_col: str = "chunk_id", vec_col: str = "embedding", repeated: bool = False) -> DataFrame:
+    """The k vectors nearest to one query vector by exact Euclidean distance; those of another length don't count.
+
+    Where ids are ``repeated``, rows without one are left out and each id counts once, by its least distance; vectors are
+    reduced to distances before that.
+    """
     distance = F.round(l2_distance(F.col(vec_col), literal_vector(query)), 6)
-    return vectors.select(id_col, distance.alias("distance")).filter("distance is not null and not isnan(distance)").orderBy("distance", id_col).limit(max(0, top_k))
+    found = vectors.select(id_col, distance.alias("distance")).filter("distance is not null and not isnan(distance)")
+    if repeated:
+        found = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("distance").alias("distance"))
+    return found.orderBy("distance", id_col).limit(max(0, top_k))
 
 
 def most_similar(vectors: DataFrame, query: Sequence[float], top_k: int = TOP_K, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:

@@ -38,7 +38,8 @@ def set_null_cascade(deps: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def replace_edges(deps: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
-    """Edges with all of ``sources`` (file_id) replaced by ``fresh`` (position for the order); of equal keys the last."""
+    """Edges with all of ``sources`` (file_id) replaced by ``fresh`` (the columns of ``deps`` and position for the order); of
+    equal keys the last."""
     last = Window.partitionBy("source_file_id", "target_path").orderBy(F.col("position").desc())
     new = fresh.withColumn("rn", F.row_number().over(last)).filter("rn = 1")
     return delete_cascade(deps, sources, "source_file_id").unionByName(new.select(*deps.columns))

@@ -144,8 +144,7 @@ def chunk_counts(spark, folder):
     + "SELECT w.chunk_id, lower(concat_ws(' ', chunk_type, nullif(name, ''), j.words)) AS built FROM w LEFT JOIN j USING (chunk_id)"
 )
 def search_text_build(spark, folder):
-    chunks = _chunks(spark, folder, "chunk_type", "name", "content")
-    return chunks.select("chunk_id", T.search_text(F.col("chunk_type"), F.col("name"), F.col("content")).alias("built"))
+    return _chunks(spark, folder, T.search_text(F.col("chunk_type"), F.col("name"), F.col("content")).alias("built"))
 
 
 @query(_with("a AS (SELECT access_id, min(query) AS query FROM access_log WHERE access_id IS NOT NULL GROUP BY 1)") + r"SELECT access_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(query, '')), '[^a-z0-9_\s\x{3131}-\x{D79D}]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2), ' ') AS terms FROM a")
@@ -248,7 +247,7 @@ def bm25_prefetch(spark, folder):
 
 @query(_with(_CC) + "SELECT chunk_id, name, token_count FROM cc WHERE lower(search_text) LIKE '%token%' AND lower(search_text) LIKE '%pl_n%' ORDER BY token_count NULLS FIRST, chunk_id LIMIT 10")
 def like_and_search(spark, folder):
-    return search.like_all(_chunks(spark, folder, "name", "token_count", "search_text"), "Token pl_n").select("chunk_id", "name", "token_count")
+    return search.like_all(table(spark, folder, "chunks"), "Token pl_n").select("chunk_id", "name", "token_count")
 
 
 _VEC = "vc AS (SELECT chunk_id, min(embedding) AS embedding FROM vec_chunks WHERE chunk_id IS NOT NULL GROUP BY 1)"
@@ -258,10 +257,6 @@ _DISTANCE = f"round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(e
 _NEAR = "(SELECT chunk_id, distance FROM (SELECT chunk_id, " + _DISTANCE + " AS distance FROM vc WHERE len(embedding) = 64) WHERE distance IS NOT NULL AND NOT isnan(distance) ORDER BY distance, chunk_id LIMIT {})"
 
 
-def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "vec_chunks").filter("chunk_id is not null").groupBy("chunk_id").agg(F.min("embedding").alias("embedding"))
-
-
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_distance(embedding::DOUBLE[], q.e), 6) AS distance FROM embeddings CROSS JOIN q ORDER BY distance, vec_id LIMIT 20")
 def knn_l2(spark, folder):
     vectors = table(spark, folder, "embeddings")
@@ -271,7 +266,7 @@ def knn_l2(spark, folder):
 
 @query(_with(_VEC) + "SELECT chunk_id, distance FROM " + _NEAR.format(20))
 def knn_chunks(spark, folder):
-    return search.nearest(_vectors(spark, folder), _PROBE, 20)
+    return search.nearest(table(spark, folder, "vec_chunks"), _PROBE, 20, repeated=True)
 
 
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.e), 6) AS similarity FROM embeddings CROSS JOIN q ORDER BY similarity DESC, vec_id LIMIT 20")
@@ -288,7 +283,7 @@ def cosine_topk(spark, folder):
     SELECT chunk_id, round(0.5e0 * lex + 0.5e0 * sem, 6) AS score, round(bm25, 6) AS bm25_score, round(sem, 6) AS semantic_score FROM m WHERE chunk_id IN (SELECT chunk_id FROM cc) ORDER BY score DESC, chunk_id LIMIT 10"""
 )
 def hybrid_merge(spark, folder):
-    return search.hybrid_merge(_search(spark, folder, WORDS, 20), search.nearest(_vectors(spark, folder), _PROBE, 20), ALPHA, 10, table(spark, folder, "chunks").select("chunk_id"))
+    return search.hybrid_merge(_search(spark, folder, WORDS, 20), search.nearest(table(spark, folder, "vec_chunks"), _PROBE, 20, repeated=True), ALPHA, 10, table(spark, folder, "chunks").select("chunk_id"))
 
 
 @query(_with(_CF, _CC) + "SELECT chunk_id, score, score AS bm25_score, 0e0 AS semantic_score FROM " + bm25_sql(_CORPUS, TERMS, "chunk_id", 20, True) + " ORDER BY score DESC, chunk_id LIMIT 10")
@@ -299,8 +294,7 @@ def hybrid_no_vectors(spark, folder):
 
 @query(_with(_CC) + "SELECT chunk_id, substr(concat_ws(' ', nullif(name, ''), '[' || chunk_type || ']', content), 1, 2000) AS embedding_text FROM cc")
 def embedding_text(spark, folder):
-    chunks = _chunks(spark, folder, "name", "chunk_type", "content")
-    return chunks.select("chunk_id", T.embedding_text(F.col("name"), F.col("chunk_type"), F.col("content")).alias("embedding_text"))
+    return _chunks(spark, folder, T.embedding_text(F.col("name"), F.col("chunk_type"), F.col("content")).alias("embedding_text"))
 
 
 @query(_with(_CC) + "SELECT chunk_id FROM cc WHERE chunk_id NOT IN (SELECT chunk_id FROM vec_chunks WHERE chunk_id IS NOT NULL)")
@@ -310,8 +304,8 @@ def unembedded_chunks_anti(spark, folder):
 
 @query()
 def embed_new_chunks(spark, folder):
-    made = embedding.embed_new(_chunks(spark, folder, "name", "chunk_type", "content"), table(spark, folder, "vec_chunks"), embedding.HashingEmbedder())
-    return made.select("chunk_id", F.size("embedding").alias("dimensions"), "model")
+    made = embedding.embed_new(table(spark, folder, "chunks"), table(spark, folder, "vec_chunks"), embedding.HashingEmbedder())
+    return made.filter(F.size("embedding") > 0).select("chunk_id", F.size("embedding").alias("dimensions"), "model")
 
 
 # Import graph
@@ -330,8 +324,7 @@ _IMPORTS = _with(
 
 
 def _imports(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder, "file_id", "content").join(_files(spark, folder).select("file_id", "language"), "file_id")
-    return graph.extract_imports(chunks, "chunk_id")
+    return graph.extract_chunk_imports(table(spark, folder, "chunks"), _files(spark, folder))
 
 
 @query(_IMPORTS + "SELECT chunk_id, position, target_path, dep_type FROM typed")
@@ -510,7 +503,7 @@ def snapshot_gc(spark, folder):
 )
 def snapshot_search(spark, folder):
     then = table(spark, folder, "chunks").filter(F.col("created_at") < F.lit(SNAPSHOT_TIME).cast("timestamp_ntz"))
-    found = snapshots.search_snapshot(current_chunks(then, "name", "token_count", "search_text"), "then", " record map ")
+    found = snapshots.search_snapshot(then, "then", " record map ")
     return found.select("chunk_id", "name", "token_count", "backup_id")
 
 
@@ -580,7 +573,7 @@ def _related(spark: SparkSession, folder: str, budget: int) -> DataFrame:
     return assembly.greedy_fill(assembly.related_items(hits, extra), budget)
 
 
-@query(_WALK.rstrip() + ", " + ", ".join((_PLACED, *_L3, _greedy_sql("l3", 4000))) + " SELECT CAST(l3.rank AS INTEGER) AS rank, chunk_id, path, tokens, score FROM l3 JOIN gr ON gr.rank = l3.rank WHERE gr.kept")
+@query(_WALK.rstrip() + ", " + ", ".join((_PLACED, *_L3, _greedy_sql("l3", 4000))) + " SELECT l3.rank, chunk_id, path, tokens, score FROM l3 JOIN gr ON gr.rank = l3.rank WHERE gr.kept")
 def layer3_greedy(spark, folder):
     return _related(spark, folder, 4000).select("rank", "chunk_id", "path", "tokens", F.round("score", 6).alias("score"))
 
@@ -637,10 +630,10 @@ def arrange_sections(spark, folder):
 
 @query()
 def chunk_code(spark, folder):
-    """Every stored content cut into chunks again, by its file's language."""
-    chunks = _chunks(spark, folder, "file_id", "content").join(_files(spark, folder).select("file_id", "language"), "file_id")
-    made = chunking.chunk_files(chunks.select(F.col("chunk_id").alias("file_id"), "language", "content"))
-    return made.select(F.col("file_id").alias("chunk_id"), "chunk_type", "name", "start_line", "end_line", "token_count")
+    """Every stored content cut into chunks again, by its file's language; only contents travel to their file, once."""
+    chunks = table(spark, folder, "chunks").filter("chunk_id is not null").select("chunk_id", "file_id", "content").join(_files(spark, folder).select("file_id", "language"), "file_id")
+    made = chunking.chunk_files(chunks, "chunk_id")
+    return made.select(F.col("file_id").alias("chunk_id"), "chunk_type", "name", "start_line", "end_line", "token_count").distinct()
 
 
 #: Literal sources and the chunks that the rules of the chunker give for them.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,10 @@ def current_files(files: DataFrame) -> DataFrame:
     return files.filter("file_id is not null").groupBy("file_id").agg(*[F.max_by(c, row).alias(c) for c in columns])
 
 
-def current_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
-    """One row for each chunk_id with the given columns, the least value where repeated rows differ."""
-    return chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(*[F.min(c).alias(c) for c in columns])
+def current_chunks(chunks: DataFrame, *columns: str | Column) -> DataFrame:
+    """One row for each chunk_id with the given columns or expressions, the least value where repeated rows differ.
+
+    Expressions are computed where the rows are read, so of a text only what is made of it is shuffled.
+    """
+    made = chunks.filter("chunk_id is not null").select("chunk_id", *columns)
+    return made.groupBy("chunk_id").agg(*[F.min(c).alias(c) for c in made.columns[1:]])
