@@ -31,9 +31,10 @@ DEFAULTS: dict[str, Any] = {
     },
     "assembly": {"budget": 40_000, "layers": {"fixed": 0.1, "short_term": 0.3, "associative": 0.4, "spare": 0.2}, "dependency_depth": 2},
     "search": {"k1": 1.2, "b": 0.75, "top_k": 10},
-    "embedding": {"enabled": False, "model": "hashing"},
+    "embedding": {"enabled": False, "provider": "hashing", "model": "nomic-embed-text", "endpoint": "http://127.0.0.1:11434"},
     "ignore": {"use_gitignore": True, "use_contextignore": True, "patterns": IGNORE_PATTERNS},
     "backup": {"max_backups": 10, "max_age_days": 30, "before_reindex": True},
+    "access_log": {"max_age_days": 30},
     "history": {"enabled": True, "max_entries": 100, "max_hot_files": 30},
 }
 #: Environment variables and the settings that they override.
@@ -45,7 +46,9 @@ ENVIRONMENT = {
     "CONTEXTLAKE_MAX_FILE_SIZE": ("indexing", "max_file_size"),
     "CONTEXTLAKE_MAX_FILES": ("indexing", "max_files"),
     "CONTEXTLAKE_EMBEDDING": ("embedding", "enabled"),
+    "CONTEXTLAKE_EMBEDDING_PROVIDER": ("embedding", "provider"),
     "CONTEXTLAKE_EMBEDDING_MODEL": ("embedding", "model"),
+    "CONTEXTLAKE_EMBEDDING_ENDPOINT": ("embedding", "endpoint"),
 }
 
 

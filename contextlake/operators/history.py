@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import datetime
 import json
-import os
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from contextlake.schema import HISTORY
+from contextlake.storage import Folder
 
-STATE_VERSION = 1
+STATE_VERSION, STATE_FILE = 1, "state.json"
 
 
 class SearchHistory:
@@ -41,24 +40,20 @@ class SearchHistory:
         """The history as a table."""
         return spark.createDataFrame([(i["seq"], i["query"], datetime.datetime.fromisoformat(i["timestamp"]), i["result_count"]) for i in self.items], HISTORY)
 
-    def export_state(self, hot_files: list[str] | None = None) -> dict[str, Any]:
-        """All that is saved."""
-        return {"version": STATE_VERSION, "saved_at": datetime.datetime.now(datetime.timezone.utc).isoformat(), "history": self.items, "hot_files": list(hot_files or [])}
+    def export_state(self, hot_files: list[str] | None = None, **notes: Any) -> dict[str, Any]:
+        """All that is saved: the history, the files accessed most, and ``notes`` such as counts."""
+        return {"version": STATE_VERSION, "saved_at": datetime.datetime.now(datetime.timezone.utc).isoformat(), **notes, "hot_files": list(hot_files or []), "history": self.items}
 
-    def save(self, path: str | os.PathLike, hot_files: list[str] | None = None) -> None:
+    def save(self, folder: Folder, name: str = STATE_FILE, hot_files: list[str] | None = None, **notes: Any) -> None:
         """Write the state as a whole."""
-        target = Path(path)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        part = target.with_suffix(".part")
-        part.write_text(json.dumps(self.export_state(hot_files)), encoding="utf-8")
-        part.replace(target)
+        folder.write_text(name, json.dumps(self.export_state(hot_files, **notes)))
 
-    def load(self, path: str | os.PathLike) -> dict[str, Any] | None:
+    def load(self, folder: Folder, name: str = STATE_FILE) -> dict[str, Any] | None:
         """Read a state; None, and no change, if it is missing, broken or of another version. Entries whose fields
         have other types are left out."""
         try:
-            state = json.loads(Path(path).read_text(encoding="utf-8"))
-        except (OSError, ValueError):
+            state = json.loads(folder.read_text(name) or "")
+        except ValueError:
             return None
         if not isinstance(state, dict) or state.get("version") != STATE_VERSION or not isinstance(state.get("saved_at"), str) or not isinstance(state.get("history"), list):
             return None

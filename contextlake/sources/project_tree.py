@@ -1,16 +1,20 @@
 """A data source that reads the files of a project tree.
 
 Spark's own file sources hide names that start with ``_`` or ``.``; this one lists what the rules of the project keep.
-The driver lists names and sizes only; files are read by the executors, in partitions of about ``BATCH_BYTES``.
+The driver lists names and sizes only, and holds those of at most ``maxFiles`` files; files are read by the executors, in
+partitions of about ``BATCH_BYTES``.
 """
 
 from __future__ import annotations
 
 import datetime
+import heapq
 import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BATCH_BYTES = 16 << 20
@@ -42,7 +46,9 @@ class ProjectReader(DataSourceReader):
 
     def listing(self) -> list[tuple[str, int, float]]:
         """Path, size and time of the files to read, by path; folders that are ignored aren't entered."""
-        found = []
+        return heapq.nsmallest(self.most_files, self._walk())
+
+    def _walk(self) -> Iterator[tuple[str, int, float]]:
         for folder, names, files in os.walk(os.path.join(self.root, self.sub), onerror=None):
             inside = os.path.relpath(folder, self.root).replace(os.sep, "/")
             inside = "" if inside == "." else inside + "/"
@@ -56,8 +62,7 @@ class ProjectReader(DataSourceReader):
                 except OSError:
                     continue
                 if 0 < status.st_size <= self.most_bytes:
-                    found.append((path, status.st_size, status.st_mtime))
-        return sorted(found)[: self.most_files]
+                    yield path, status.st_size, status.st_mtime
 
     def partitions(self) -> list[Batch]:
         batches: list[list[tuple[str, int, float]]] = [[]]
@@ -92,3 +97,14 @@ class ProjectTree(DataSource):
 
     def reader(self, schema) -> ProjectReader:
         return ProjectReader({k.lower(): v for k, v in self.options.items()})
+
+
+def missing(stored: DataFrame, root: str) -> DataFrame:
+    """The rows of ``stored`` (path first) whose path isn't a file beneath ``root`` any more; each is looked up where its row
+    is, so nothing is listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not os.path.isfile(os.path.join(root, p)) for p in batch.column("path").to_pylist()], pa.bool_()))
+
+    return stored.filter("path is not null").mapInArrow(run, stored.schema)

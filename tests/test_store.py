@@ -2,12 +2,15 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from contextlake.operators import assembly, graph, store
 from contextlake.operators.components import connected_components
 from contextlake.operators.history import SearchHistory
+from contextlake.operators.numbering import numbered
 from contextlake.operators.snapshots import SnapshotStore, expired
+from contextlake.storage import Folder
 from contextlake.streaming.access import read_access_stream, windowed_access
 
 
@@ -34,17 +37,19 @@ def test_unique_queries(spark):
     assert history.recent() == ["c", "a", "b"] and len(history.items) == 3
 
 
-def test_history_state(tmp_path):
-    history = SearchHistory()
-    history.record("x", 2)
-    history.save(tmp_path / "s" / "state.json", ["a.js"])
-    other = SearchHistory()
-    assert other.load(tmp_path / "s" / "state.json")["hot_files"] == ["a.js"] and other.recent() == ["x"]
-    (tmp_path / "bad.json").write_text("{")
-    assert other.load(tmp_path / "bad.json") is None and other.load(tmp_path / "none.json") is None
-    (tmp_path / "part.json").write_text('{"version": 1, "saved_at": "t", "history": [{"query": 3}, {"query": "q", "timestamp": "t", "result_count": 1}, 4]}')
-    other.load(tmp_path / "part.json")
-    assert other.recent() == ["q"]
+def test_history_state(spark, tmp_path):
+    folder, history = Folder(spark, f"file://{tmp_path}/s"), SearchHistory(2)
+    for query in ("a", " ", "b", "A", None):
+        history.record(query, 1)
+    assert history.recent() == ["A", "b"] and [i["query"] for i in history.items] == ["b", "A"]
+    history.save(folder, hot_files=["x"], n_files=3)
+    again = SearchHistory(5)
+    assert again.load(folder)["hot_files"] == ["x"] and again.recent() == ["A", "b"] and again.frame(spark).count() == 2
+    for broken in ("{broken", "[]", '{"version": 9}', '{"version": 1, "saved_at": "x", "history": 3}'):
+        folder.write_text("state.json", broken)
+        assert SearchHistory().load(folder) is None
+    folder.write_text("state.json", '{"version": 1, "saved_at": "x", "history": [{"query": 1}, {"query": "q", "timestamp": "2024-01-01", "result_count": 2}]}')
+    assert again.load(folder) and again.recent() == ["q"] and SearchHistory().load(folder, "none.json") is None
 
 
 def test_walk(spark):
@@ -89,17 +94,43 @@ def test_tree(spark):
 
 
 def test_snapshots(spark, tmp_path):
-    (tmp_path / "data").mkdir()
-    (tmp_path / "data" / "x").write_text("1")
-    snapshots = SnapshotStore(tmp_path / "backups")
+    spark.range(3).write.parquet(str(tmp_path / "d" / "x-1"))
+    spark.range(2).write.parquet(str(tmp_path / "d" / "x-2"))
+    snapshots = SnapshotStore(Folder(spark, f"file://{tmp_path}/d"))
     start = datetime.datetime(2024, 1, 1)
-    made = [snapshots.create(tmp_path / "data", 1, 2, now=start + datetime.timedelta(hours=h // 2)) for h in range(12)]
-    assert len({e["id"] for e in made}) == 12
+    made = [snapshots.create({"x": ["x-1"] if h < 2 else ["x-1", "x-2"]}, 1, 2, now=start + datetime.timedelta(hours=h // 2)) for h in range(12)]
+    assert len({e["id"] for e in made}) == 12 and 0 < made[0]["size_bytes"] < made[2]["size_bytes"]
     frame = snapshots.frame(spark)
     assert {r.id for r in expired(frame, start + datetime.timedelta(days=1)).collect()} == {e["id"] for e in made[:2]}
     assert snapshots.gc(now=start + datetime.timedelta(days=1)) == 2 and len(snapshots.entries()) == 10
-    assert snapshots.export_to(tmp_path / "out").name == made[-1]["id"] and snapshots.export_to(None) is None
-    assert snapshots.gc(max_count=0) == 10 and snapshots.entries() == []
+    assert snapshots.export_to(Folder(spark, str(tmp_path / "out"))).endswith(made[-1]["id"]) and snapshots.export_to(None) is None
+    assert spark.read.parquet(f"{tmp_path}/out/{made[-1]['id']}/x").count() == 5
+    assert snapshots.gc(max_count=0, live=["x-2"]) == 10 and snapshots.entries() == []
+    assert not (tmp_path / "d" / "x-1").exists() and (tmp_path / "d" / "x-2").exists()
+    with pytest.raises(ValueError):
+        snapshots.find()
+
+
+def test_numbers(spark):
+    frame = spark.createDataFrame([(i * 7 % 100, "x") for i in range(100)], "a long, b string").repartition(5)
+    got = sorted((r.a, r.place) for r in numbered(frame, "a", start=10, name="place").collect())
+    assert got == [(i, i + 11) for i in range(100)]
+    assert numbered(frame.limit(0), "a").count() == 0
+
+
+def test_many_items_are_filled_in_blocks(spark):
+    items = spark.range(1, 100_001).select(F.col("id").alias("rank"), (F.col("id") % 7 * 10).alias("tokens"))
+    used, kept = 0, set()
+    for rank in range(1, 100_001):
+        if used + rank % 7 * 10 <= 500:
+            used += rank % 7 * 10
+            kept.add(rank)
+    assert {r.rank for r in assembly.greedy_fill(items, 500).collect()} == kept
+    hits = spark.createDataFrame([(5, "p", 1, 10, 2.0), (4, "q", 1, 10, 1.0)], "chunk_id long, path string, start_line int, tokens long, score double")
+    extra = spark.range(1000, 101_000).select(F.col("id").alias("chunk_id"), F.lit("p").alias("path"), (F.col("id") - 999).cast("int").alias("start_line"), F.lit(40).cast("bigint").alias("tokens"))
+    ranked = assembly.related_items(hits, extra)
+    assert ranked.count() == 100_001 and ranked.filter("rank <= 2").count() == 2
+    assert [(r.rank, r.chunk_id) for r in assembly.greedy_fill(ranked, 100).orderBy("rank").collect()] == [(1, 5), (2, 4), (3, 1001), (4, 1002)]
 
 
 def test_stream(spark, tmp_path):
