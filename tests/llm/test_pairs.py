@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from contextlake.llm import near_duplicates, neighbours
 
@@ -148,8 +149,27 @@ def test_neighbours(spark):
     assert all(got[i] == true[i] for i in copies)
 
 
+def test_dense_cells_have_parts_and_asked_regions_copies(spark, monkeypatch):
+    for name, value in (("BLOCK", 100), ("LEAST_REGION", 150), ("MOST_CENTROIDS", 3), ("OCCUPANCY", 20)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([rng.normal(size=(1400, 64)) * 0.01 + 5, rng.normal(size=(200, 64))]).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "chunk_id long, embedding array<float>")
+    classes = frame.select(F.col("chunk_id").alias("rep"), F.col("embedding").alias("v"))
+    index = neighbours.build_index(classes, 1600, 64, 400, 4)
+    assert index.finer and index.sizes.sum() == 1600 and len(index.copies) == 4
+    assert max(len(index.visited(v, *(h[0] for h in index.halves(v[None])), 400)) for v in vectors[:50]) < len(index.region_of)
+    index.share(np.full(len(index.copies), 3))
+    monkeypatch.setattr(neighbours, "build_index", lambda *a: index)
+    got: dict[int, set] = {}
+    for r in neighbours.nearest_neighbours(frame, candidates=1600).collect():
+        got.setdefault(r.chunk_id, set()).add(r.neighbour_id)
+    assert got == _brute(np.arange(1600), vectors, 10)
+
+
 def test_few_neighbours(spark):
     frame = spark.createDataFrame([(1, [1.0] * 64), (2, [2.0] * 64), (3, [1.0] * 64)], "chunk_id long, embedding array<float>")
+    frame = frame.union(frame.sparkSession.createDataFrame([(3, [5.0] * 64)], frame.schema))
     got = {(r.chunk_id, r.neighbour_id) for r in neighbours.nearest_neighbours(frame).collect()}
     assert got == {(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)}
     assert neighbours.nearest_neighbours(frame.limit(0)).count() == 0 and neighbours.nearest_neighbours(frame.limit(1)).count() == 0
