@@ -36,7 +36,8 @@ SWITCH_BITS = 14.0
 HELD_SHARE = 0.2
 #: Sentences whose code lengths a Python worker keeps.
 _MEMO_SENTENCES = 50_000
-_MOST_LANGUAGES = 200
+#: Languages that ``label_codes`` takes unless it is told otherwise.
+MOST_LANGUAGES = 200
 
 _CODE = [
     re.compile(r"^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[^\n]*|\Z)", re.M | re.S),
@@ -220,10 +221,15 @@ def named_language(lang: Column | str, codes: dict[str, str]) -> Column:
     return F.element_at(known, label)
 
 
-def _codes(lang_codes: DataFrame) -> dict[str, str]:
-    rows = lang_codes.select("lang_code", "lang_name").filter("lang_code is not null").distinct().limit(_MOST_LANGUAGES + 1).collect()
-    if not rows or len(rows) > _MOST_LANGUAGES:
-        raise ValueError(f"between 1 and {_MOST_LANGUAGES} languages are expected")
+def label_codes(lang_codes: DataFrame, most: int = MOST_LANGUAGES) -> dict[str, str]:
+    """Codes by what may name them, in lower case: the code and the name of each language.
+
+    Each language costs memory in every worker, so more than ``most`` are refused and not cut off; a larger number, or a
+    dictionary made otherwise, lifts that.
+    """
+    rows = lang_codes.select("lang_code", "lang_name").filter("lang_code is not null").distinct().limit(most + 1).collect()
+    if not rows or len(rows) > most:
+        raise ValueError(f"between 1 and {most} languages are expected")
     names = {r.lang_name.strip().lower(): r.lang_code for r in rows if r.lang_name}
     return names | {r.lang_code.strip().lower(): r.lang_code for r in rows}
 
@@ -240,7 +246,7 @@ def train(documents: DataFrame, codes: dict[str, str], id_col: str = "doc_id", t
     return fit_trees(sorted(got))
 
 
-def language_stretches(documents: DataFrame, lang_codes: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def language_stretches(documents: DataFrame, lang_codes: DataFrame | dict[str, str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows (doc_id, start, end, lang_code, letters, confidence): each run of sentences of a text in one language.
 
     start and end are character positions in the text. Null, empty and blank texts, and texts without letters outside
@@ -248,7 +254,7 @@ def language_stretches(documents: DataFrame, lang_codes: DataFrame, id_col: str
     never assigned. Repeated rows give repeated results. Labels don't influence a row's result otherwise than as one
     of the sample. Nothing is shuffled but the sample; the trees are broadcast, their size is bounded by the sample.
     """
-    codes = _codes(lang_codes)
+    codes = lang_codes if isinstance(lang_codes, dict) else label_codes(lang_codes)
     trees = documents.sparkSession.sparkContext.broadcast(train(documents, codes, id_col, text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +289,9 @@ def held_languages(stretches: DataFrame, id_col: str = "doc_id", share: float =
 
 def wrong_labels(documents: DataFrame, lang_codes: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows (doc_id, lang_code) of the documents whose held languages aren't exactly the one that the label names."""
-    held = held_languages(language_stretches(documents, lang_codes, id_col, text_col, lang_col), id_col)
+    codes = label_codes(lang_codes)
+    held = held_languages(language_stretches(documents, codes, id_col, text_col, lang_col), id_col)
     held = held.groupBy(id_col).agg(F.array_sort(F.collect_set("lang_code")).alias("held"))
-    labels = documents.select(id_col, named_language(lang_col, _codes(lang_codes)).alias("named")).distinct()
+    labels = documents.select(id_col, named_language(lang_col, codes).alias("named")).distinct()
     wrong = held.join(labels, id_col).filter(F.col("named").isNull() | (F.col("held") != F.array("named")))
     return wrong.select(id_col, F.explode("held").alias("lang_code")).distinct()

@@ -4,9 +4,10 @@ Method: best-two-fit. A container is filled greedily with the largest item that
 is replaced by the two unpacked items whose sum fits the gap that its removal would leave most tightly, as long as
 that leaves less unused space. Items are only split if they alone exceed the capacity.
 
-Scale: containers are independent, so items are dealt to shards of about ``SHARD_ITEMS`` items by a hash of their
-id and each shard is packed on its own. A shard leaves one partly filled container at most, which at some thousand
-containers a shard is under a tenth of a percent of the space; no shard grows with the input.
+Scale: containers are independent, so items and pieces are dealt to shards of about ``SHARD_ITEMS`` by a hash of id and
+piece, and each shard is packed on its own; so the pieces of one huge item lie in all shards. A shard leaves one partly
+filled container at most, which at some thousand containers a shard is under a tenth of a percent of the space. The
+number of shards follows the number of items; pieces beyond these grow a shard by the share that they have in all rows.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
         sizes.select(F.col(id_col).alias("item"), size.alias("total"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.expr(f"(total - 1) div {capacity}")))))
         .select(
-            F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard"),
+            F.pmod(F.xxhash64("item", "piece"), F.lit(shards)).alias("shard"),
             "item",
             "piece",
             (F.col("piece") * capacity).alias("start_token"),

@@ -98,30 +98,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p5_found, p5_origins, p6_found, p6_groups, p6_links, p7_ids, p8_found, p8_bins, p9_found, p9_languages, p9_stretches)}
 
 
+def _links_sql(words: int, similarity: float) -> str:
+    """SQL that ends in l: pairs p < q of chunk_ids that are alike, and whether their sets are equal."""
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return f"""
+        w AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM chunks WHERE content IS NOT NULL),
+        s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - {words - 2}), lambda i: {run})) AS g FROM w WHERE len(w) >= {words}),
+        n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+        d AS (SELECT g, count(*) AS df FROM s GROUP BY 1),
+        o AS (SELECT s.chunk_id, g, n, row_number() OVER (PARTITION BY s.chunk_id ORDER BY df, g) AS pos FROM s JOIN d USING (g) JOIN n USING (chunk_id)),
+        f AS (SELECT * FROM o WHERE pos <= n - ceil({similarity} * n) + 1),
+        c AS (SELECT DISTINCT a.chunk_id AS p, b.chunk_id AS q FROM f a JOIN f b ON a.g = b.g AND a.chunk_id < b.chunk_id AND least(a.n, b.n) >= {similarity} * greatest(a.n, b.n)),
+        m AS (SELECT p, q, count(*) AS m FROM c JOIN s x ON x.chunk_id = p JOIN s y ON y.chunk_id = q AND y.g = x.g GROUP BY 1, 2),
+        l AS (SELECT p, q, m = a.n AND m = b.n AS same FROM m JOIN n a ON a.chunk_id = p JOIN n b ON b.chunk_id = q WHERE m >= {similarity} * (a.n + b.n - m))"""
+
+
+#: Both ways, and the smallest chunk_id with an equal set of each.
+_CLASSES_SQL = """
+        y AS (SELECT p, q, same FROM l UNION ALL SELECT q, p, same FROM l),
+        k AS (SELECT chunk_id, least(chunk_id, coalesce(min(q) FILTER (WHERE same), chunk_id)) AS class_id, count(*) FILTER (WHERE same) AS n_copies FROM n LEFT JOIN y ON p = chunk_id GROUP BY 1)"""
+_NEAREST_SQL = """
+        v AS (
+            SELECT chunk_id, min(embedding)::DOUBLE[64] AS e FROM vec_chunks
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            GROUP BY chunk_id
+        ), r AS (
+            SELECT a.chunk_id AS p, b.chunk_id AS q, array_distance(a.e, b.e) AS far, row_number() OVER (PARTITION BY a.chunk_id ORDER BY array_distance(a.e, b.e), b.chunk_id) AS n
+            FROM v a JOIN v b ON a.chunk_id <> b.chunk_id
+        )"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for those that it can express on whole tables."""
     return {
         "p1_found": "SELECT DISTINCT chunk_id FROM chunks WHERE ceil(length(content) / 3.5) > 500",
-        "p3_found": """
-            WITH v AS (
-                SELECT chunk_id, min(embedding)::DOUBLE[64] AS e FROM vec_chunks
-                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-                GROUP BY chunk_id
-            ), r AS (
-                SELECT a.chunk_id AS p, b.chunk_id AS q, row_number() OVER (PARTITION BY a.chunk_id ORDER BY array_distance(a.e, b.e), b.chunk_id) AS n
-                FROM v a JOIN v b ON a.chunk_id <> b.chunk_id
-            )
-            SELECT DISTINCT least(p, q) AS chunk_id_a, greatest(p, q) AS chunk_id_b FROM r WHERE n <= 10
+        "p3_found": f"WITH {_NEAREST_SQL} SELECT DISTINCT least(p, q) AS chunk_id_a, greatest(p, q) AS chunk_id_b FROM r WHERE n <= 10",
+        "p3_neighbours": f"WITH {_NEAREST_SQL} SELECT p AS chunk_id, q AS neighbour_id, round(far, 6) AS distance FROM r WHERE n <= 10 AND p % 50 = 0",
+        "p6_found": f"WITH {_links_sql(P6_WORDS, P6_SIMILARITY)} SELECT p AS chunk_id_a, q AS chunk_id_b FROM l",
+        "p6_groups": f"""
+            WITH RECURSIVE {_links_sql(5, 0.8)}, {_CLASSES_SQL},
+            t AS (SELECT chunk_id AS id, chunk_id AS g FROM n UNION SELECT y.q, t.g FROM t JOIN y ON y.p = t.id)
+            SELECT k.chunk_id, k.class_id, min(t.g) AS group_id FROM k JOIN t ON t.id = k.chunk_id GROUP BY 1, 2
         """,
-        "p6_found": """
-            WITH w AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM chunks WHERE content IS NOT NULL),
-            s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
-            n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
-            d AS (SELECT g, count(*) AS df FROM s GROUP BY 1),
-            o AS (SELECT s.chunk_id, g, n, row_number() OVER (PARTITION BY s.chunk_id ORDER BY df, g) AS pos FROM s JOIN d USING (g) JOIN n USING (chunk_id)),
-            f AS (SELECT * FROM o WHERE pos <= n - ceil(0.6 * n) + 1),
-            c AS (SELECT DISTINCT a.chunk_id AS p, b.chunk_id AS q FROM f a JOIN f b ON a.g = b.g AND a.chunk_id < b.chunk_id AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n)),
-            m AS (SELECT p, q, count(*) AS m FROM c JOIN s x ON x.chunk_id = p JOIN s y ON y.chunk_id = q AND y.g = x.g GROUP BY 1, 2)
-            SELECT p AS chunk_id_a, q AS chunk_id_b FROM m JOIN n a ON a.chunk_id = p JOIN n b ON b.chunk_id = q WHERE m >= 0.6 * (a.n + b.n - m)
+        "p6_links": f"""
+            WITH {_links_sql(5, 0.8)}, {_CLASSES_SQL}
+            SELECT k.chunk_id, k.class_id, k.n_copies, count(DISTINCT o.class_id) AS n_links
+            FROM k LEFT JOIN y ON y.p = k.chunk_id AND NOT y.same LEFT JOIN k o ON o.chunk_id = y.q GROUP BY 1, 2, 3
         """,
     }

@@ -53,14 +53,17 @@ def _boundaries(text: str) -> tuple[list[int], list[int]]:
     return places, [strength[p] for p in places]
 
 
-def split_text(text: str, limit_tokens: int = LIMIT_TOKENS, overlap_lines: int = OVERLAP_LINES) -> list[tuple[int, int, int]]:
-    """(overlap start, start, end) of each piece in characters; pieces [start, end) cover ``text`` once."""
+def split_text(text: str, limit_tokens: int = LIMIT_TOKENS, overlap_lines: int = OVERLAP_LINES, overlap_share: float = OVERLAP_SHARE) -> list[tuple[int, int, int]]:
+    """(overlap start, start, end) of each piece in characters; pieces [start, end) cover ``text`` once.
+
+    An overlap is as many whole lines, ``overlap_lines`` at most, as take no more than ``overlap_share`` of the limit.
+    """
     limit = int(limit_tokens * CHARS_PER_TOKEN)
     if len(text) <= limit:
         return [(0, 0, len(text))]
     places, strength = _boundaries(text)
     lines = [0] + [m.end() for m in _LINE.finditer(text)]
-    most = int(limit * OVERLAP_SHARE)
+    most = int(limit * overlap_share)
 
     def overlap_start(start: int) -> int:
         at = bisect_left(lines, start)
@@ -99,10 +102,10 @@ def split_text(text: str, limit_tokens: int = LIMIT_TOKENS, overlap_lines: int =
     return pieces
 
 
-def _pieces(chunk_id: int, text: str, first_line: int | None, limit_tokens: int, overlap_lines: int) -> Iterator[tuple]:
+def _pieces(chunk_id: int, text: str, first_line: int | None, limit_tokens: int, overlap_lines: int, overlap_share: float) -> Iterator[tuple]:
     base = first_line if first_line and first_line > 0 else 1
     breaks = [m.start() for m in _LINE.finditer(text)]
-    for number, (overlap, _, end) in enumerate(split_text(text, limit_tokens, overlap_lines)):
+    for number, (overlap, _, end) in enumerate(split_text(text, limit_tokens, overlap_lines, overlap_share)):
         content = text[overlap:end]
         yield (chunk_id, number, content, base + bisect_left(breaks, overlap), base + bisect_left(breaks, end - 1), -int(-len(content) // CHARS_PER_TOKEN))
 
@@ -112,7 +115,7 @@ def oversized(limit_tokens: int = LIMIT_TOKENS, content: str = "content"):
     return F.ceil(F.length(content) / F.lit(CHARS_PER_TOKEN)) > limit_tokens
 
 
-def split_oversized(chunks: DataFrame, limit_tokens: int = LIMIT_TOKENS, overlap_lines: int = OVERLAP_LINES) -> DataFrame:
+def split_oversized(chunks: DataFrame, limit_tokens: int = LIMIT_TOKENS, overlap_lines: int = OVERLAP_LINES, overlap_share: float = OVERLAP_SHARE) -> DataFrame:
     """Pieces (``PIECE_SCHEMA``) of the chunks over the limit; chunks within it give no row.
 
     ``chunks`` needs chunk_id, content and start_line; other columns are dropped. Null and empty contents are within
@@ -124,14 +127,14 @@ def split_oversized(chunks: DataFrame, limit_tokens: int = LIMIT_TOKENS, overlap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk_id", pa.int64()), ("piece", pa.int64()), ("content", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("token_count", pa.int64())])
         for batch in batches:
-            rows = [p for a, b, c in zip(*(col.to_pylist() for col in batch.columns), strict=True) for p in _pieces(a, b, c, limit_tokens, overlap_lines)]
+            rows = [p for a, b, c in zip(*(col.to_pylist() for col in batch.columns), strict=True) for p in _pieces(a, b, c, limit_tokens, overlap_lines, overlap_share)]
             yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
 
     big = chunks.filter(oversized(limit_tokens)).select(F.col("chunk_id").cast("bigint"), "content", F.col("start_line").cast("bigint"))
     return big.mapInArrow(run, PIECE_SCHEMA)
 
 
-def chunk_pieces(chunks: DataFrame, limit_tokens: int = LIMIT_TOKENS, overlap_lines: int = OVERLAP_LINES) -> DataFrame:
+def chunk_pieces(chunks: DataFrame, limit_tokens: int = LIMIT_TOKENS, overlap_lines: int = OVERLAP_LINES, overlap_share: float = OVERLAP_SHARE) -> DataFrame:
     """Every chunk as pieces within the limit, each piece once; a chunk within the limit is its own only piece.
 
     Null contents come out as a null piece of 0 tokens with the stored line; rows that repeat a chunk's content give
@@ -142,7 +145,7 @@ def chunk_pieces(chunks: DataFrame, limit_tokens: int = LIMIT_TOKENS, overlap_li
     text = F.coalesce("content", F.lit(""))
     breaks = F.length(text) - F.length(F.replace(F.substring(text, F.lit(1), F.length(text) - 1), F.lit("\n"), F.lit(""))) - F.when(F.length(text) > 0, 1).otherwise(0)
     small = whole.select(F.col("chunk_id").cast("bigint"), F.lit(0).cast("bigint").alias("piece"), "content", first.alias("start_line"), (first + breaks).cast("bigint").alias("end_line"), F.ceil(F.length(text) / F.lit(CHARS_PER_TOKEN)).cast("bigint").alias("token_count"))
-    return small.unionByName(split_oversized(chunks, limit_tokens, overlap_lines)).distinct()
+    return small.unionByName(split_oversized(chunks, limit_tokens, overlap_lines, overlap_share)).distinct()
 
 
 def split_ids(pieces: DataFrame) -> DataFrame:

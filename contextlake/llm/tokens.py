@@ -99,9 +99,17 @@ def encode_tree(enc, text: str, leaf: int = LEAF) -> tuple[str, list[int]]:
     return join_encoded(enc, encode_tree(enc, text[:middle], leaf), encode_tree(enc, text[middle:], leaf))
 
 
-def decode_tree(enc, ids: list[int]) -> str:
-    """The text of ``ids``; bytes are concatenated before decoding, so characters may span tokens."""
-    return b"".join(enc.decode_single_token_bytes(t) for t in ids).decode()
+def _bytes_of(enc, ids: list[int], leaf: int) -> bytes:
+    """The bytes of ``ids``: those of leaves, concatenated in pairs up the tree."""
+    if len(ids) <= leaf:
+        return b"".join(enc.decode_single_token_bytes(t) for t in ids)
+    middle = len(ids) // 2
+    return _bytes_of(enc, ids[:middle], leaf) + _bytes_of(enc, ids[middle:], leaf)
+
+
+def decode_tree(enc, ids: list[int], leaf: int = LEAF) -> str:
+    """The text of ``ids``; bytes are put together before they are decoded, so characters may span tokens and leaves."""
+    return _bytes_of(enc, ids, leaf).decode()
 
 
 def _encode(text: str | None, name: str, folder: str) -> list[int]:

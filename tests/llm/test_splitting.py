@@ -25,6 +25,14 @@ def test_lines_and_overlap():
     assert len(splitting.split_text("x" * 5000)) == 4
 
 
+def test_long_lines_overlap_by_their_share():
+    text = "\n".join("x" * 399 for _ in range(20))
+    assert all(text[o:s].count("\n") == 1 for o, s, _ in splitting.split_text(text)[1:])
+    pieces = splitting.split_text(text, overlap_share=0.5)
+    assert all(text[o:s].count("\n") == 2 for o, s, _ in pieces[1:]) and all(e - o <= 1750 for o, _, e in pieces)
+    assert all(o == s for o, s, _ in splitting.split_text(text, overlap_share=0.1))
+
+
 def test_table(spark):
     long = "\n".join(["abc def ghi;"] * 300)
     rows = [(1, long, 5, 1), (1, long, 5, 1), (2, "a\r\nb", 0, 1), (3, None, None, 1), (4, "", 2, 1), (None, long, 1, 1), (5, "y" * 1750, 1, 1), (6, "y" * 1751, 1, 1)]

@@ -11,7 +11,7 @@ from contextlake.llm import packing, tokens
 def test_tree_equals_direct(text, leaf):
     enc = tokens.encoding()
     ids = tokens.encode_tree(enc, text, leaf)[1]
-    assert ids == enc.encode_ordinary(text) and tokens.decode_tree(enc, ids) == text
+    assert ids == enc.encode_ordinary(text) and tokens.decode_tree(enc, ids, 3) == text
 
 
 def test_table(spark):
