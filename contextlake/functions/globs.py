@@ -52,3 +52,20 @@ def ignored(path: Column, patterns: Iterable[str]) -> Column:
 def matches_filter(path: Column, pattern: str) -> Column:
     """The looser filter of file lists: ``*`` anything, ``?`` any one character, found anywhere, in any case."""
     return path.rlike("(?i)" + pattern.replace("*", ".*").replace("?", "."))
+
+
+#: Directories that a quick scan never enters.
+SKIPPED_DIRS = ["node_modules", ".git", ".hg", ".svn", "dist", "build", "target", ".next", "__pycache__", ".venv", "venv", ".idea", ".vscode", "coverage"]
+
+
+def quick_scan_keeps(path: Column, size: Column, extensions: Iterable[str], texts: Iterable[str], most_bytes: int) -> Column:
+    """The rules of the quick scan: a known extension, a size above 0 and within the limit, no directory of
+    ``SKIPPED_DIRS``, and none of ``texts`` anywhere in the path, as it is written. False for a null path or size."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.split(plain, "/")
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    known = F.lower(F.regexp_extract(plain, r"\.([^./]*)$", 1)).isin([e.lower() for e in extensions])
+    kept = known & (size > 0) & (size <= most_bytes) & ~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_DIRS)))
+    for text in texts:
+        kept = kept & ~plain.contains(text)
+    return F.coalesce(kept, F.lit(False))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +15,8 @@ from contextlake.functions import text as T
 from contextlake.operators import assembly, chunking, graph, search, snapshots, store
 from contextlake.operators.orphans import IMPORT_ENDINGS
 from contextlake.plans.problems import _NORMAL
+from contextlake.session import cut
 from contextlake.sources.model import current_chunks, current_files
-from contextlake.sources.project_tree import ProjectTree
 from contextlake.sources.tables import table
 from contextlake.streaming.access import windowed_access
 
@@ -120,6 +119,16 @@ def size_filter_cap(spark, folder):
     return files.select("file_id", "path", "size_bytes").orderBy("path", "file_id").limit(50_000)
 
 
+_SKIPPED = ", ".join(f"'{d}'" for d in globs.SKIPPED_DIRS)
+
+
+@query(_with(_CF, "p AS (SELECT file_id, replace(path, chr(92), '/') AS path, size_bytes FROM cf)") + f"SELECT file_id, path FROM p WHERE lower(regexp_extract(path, '\\.([^./]*)$', 1)) IN ('ts', 'py', 'md') AND size_bytes > 0 AND size_bytes <= 4000 AND NOT contains(path, 'vendor') AND NOT contains(path, 'Map') AND NOT list_has_any(string_split(path, '/')[:-2], [{_SKIPPED}])")
+def quick_scan_filter(spark, folder):
+    files = _files(spark, folder)
+    kept = files.filter(globs.quick_scan_keeps(F.col("path"), F.col("size_bytes"), ["ts", "py", "md"], ["vendor", "Map"], 4000))
+    return kept.select("file_id", F.replace("path", F.lit("\\"), F.lit("/")).alias("path"))
+
+
 @query(_with(_CF, _CC) + "SELECT chunk_id, file_id, path, language, start_line, name FROM cc JOIN cf USING (file_id)")
 def chunk_file_join(spark, folder):
     chunks = _chunks(spark, folder, "file_id", "start_line", "name")
@@ -214,8 +223,10 @@ def _search(spark: SparkSession, folder: str, words: str, k: int = 10, language:
 @query("SELECT doc_id, score FROM " + bm25_sql("SELECT doc_id, text AS search_text FROM documents", ["index", "filter", "warning"], "doc_id", 10))
 def bm25_topk(spark, folder):
     corpus = table(spark, folder, "documents").select("doc_id", F.col("text").alias("search_text"))
-    scored = search.bm25_scores(corpus, ["index", "filter", "warning"]).select("doc_id", F.round("score", 6).alias("score"))
-    return search.top(scored, 10, "doc_id")
+    # Texts are read once: statistics and scores both need their counts only.
+    terms = ["index", "filter", "warning"]
+    counted = cut(search.term_counts(corpus, terms).drop("search_text"))
+    return search.top(search.score_counts(counted, terms).select("doc_id", F.round("score", 6).alias("score")), 10, "doc_id")
 
 
 @query(_with(_CF, _CC) + _FOUND + bm25_sql(_CORPUS, TERMS, "chunk_id", 10, True))
@@ -625,10 +636,56 @@ def arrange_sections(spark, folder):
     return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\n---\n").alias("context"))
 
 
-# Python operators
+# The chunker
 
 
-@query()
+def _chunker_sql() -> str:
+    """SQL of the chunker over all contents: lines with running counts, the blocks that open on them, the walk from block to
+    block, the members of large containers, and what is left between."""
+    quoted = lambda p: p.replace("'", "''")
+    families = " ".join(f"WHEN '{e}' THEN '{f}'" for e, f in chunking.FAMILY.items())
+    opened = " UNION ALL ".join(
+        f"SELECT chunk_id, pos, {i} AS ord, '{kind}' AS kind, regexp_extract(line, '^(?:{quoted(p)})', 1) AS name FROM cm WHERE family = '{f}' AND regexp_matches(line, '^(?:{quoted(p)})')"
+        for f, rules in chunking.BLOCKS.items()
+        for i, (kind, p) in enumerate(rules)
+    )
+    listed = lambda names: ", ".join(f"'{n}'" for n in names)
+    walk = "{w} AS (SELECT chunk_id, pos, stop, kind, name{more} FROM {t} WHERE heads UNION ALL SELECT n.chunk_id, n.pos, n.stop, n.kind, n.name{nmore} FROM {w} JOIN {t} p ON p.chunk_id = {w}.chunk_id AND p.pos = {w}.pos{on} JOIN {t} n ON n.chunk_id = p.chunk_id AND n.pos = p.nxt{non})"
+    rest = f"length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM"
+    kept = f"n > {chunking.REST_CHARS} AND ceil(n / 3.5) > {chunking.REST_TOKENS}"
+    return _with(
+        _CF,
+        f"src AS (SELECT DISTINCT chunk_id, content, CASE lower(language) {families} END AS family FROM chunks JOIN cf USING (file_id) WHERE chunk_id IS NOT NULL AND length(content) > 0)",
+        "ln AS (SELECT chunk_id, family, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS pos FROM src WHERE family IS NOT NULL)",
+        "ct AS (SELECT *, length(line) - length(replace(line, '{', '')) - length(line) + length(replace(line, '}', '')) AS d, CAST(contains(line, '{') AS INT) AS h, length(line) - length(regexp_replace(line, '^\\s+', '')) AS ind, regexp_matches(line, '\\S') AS filled FROM ln)",
+        "cm AS (SELECT *, sum(d) OVER w AS c, sum(h) OVER w AS o, sum(length(line) + 1) OVER w AS z, max(pos) OVER (PARTITION BY chunk_id) AS last FROM ct WINDOW w AS (PARTITION BY chunk_id ORDER BY pos))",
+        f"op AS ({opened})",
+        "st AS (SELECT DISTINCT cm.* FROM cm JOIN op USING (chunk_id, pos))",
+        """en AS (SELECT s.chunk_id, s.pos, coalesce(min(CASE WHEN s.family = 'py' THEN e.pos - 1 ELSE e.pos END), s.last) AS stop
+            FROM st s LEFT JOIN cm e ON e.chunk_id = s.chunk_id AND CASE WHEN s.family = 'py' THEN e.pos > s.pos AND e.filled AND e.ind <= s.ind ELSE e.pos >= s.pos AND e.o - s.o + s.h > 0 AND e.c - s.c + s.d <= 0 END
+            GROUP BY s.chunk_id, s.pos, s.last)""",
+        f"bl AS (SELECT chunk_id, pos, stop, arg_min(kind, ord) AS kind, arg_min(name, ord) AS name FROM op JOIN en USING (chunk_id, pos) WHERE stop - pos + 1 >= {chunking.BLOCK_LINES} GROUP BY 1, 2, 3)",
+        "bn AS (SELECT b.chunk_id, b.pos, b.stop, b.kind, b.name, min(x.pos) AS nxt, b.pos = min(b.pos) OVER (PARTITION BY b.chunk_id) AS heads FROM bl b LEFT JOIN bl x ON x.chunk_id = b.chunk_id AND x.pos > b.stop GROUP BY 1, 2, 3, 4, 5)",
+        walk.format(w="tw", t="bn", more="", nmore="", on="", non=""),
+        "tb AS (SELECT tw.*, e.z - s.z + length(s.line) AS n FROM tw JOIN cm s USING (chunk_id, pos) JOIN cm e ON e.chunk_id = tw.chunk_id AND e.pos = tw.stop)",
+        f"big AS (SELECT * FROM tb WHERE kind IN ({listed(chunking.CONTAINERS)}) AND ceil(n / 3.5) > {chunking.CONTAINER_TOKENS})",
+        f"""mb AS (SELECT g.chunk_id, g.pos AS own, o.pos, least(g.stop, en.stop) AS stop, arg_min(o.kind, ord) AS kind, arg_min(o.name, ord) AS name FROM big g JOIN op o ON o.chunk_id = g.chunk_id AND o.pos > g.pos AND o.pos <= g.stop AND o.kind IN ({listed(chunking.MEMBERS)})
+            JOIN en ON en.chunk_id = o.chunk_id AND en.pos = o.pos WHERE least(g.stop, en.stop) - o.pos + 1 >= {chunking.BLOCK_LINES} GROUP BY 1, 2, 3, 4)""",
+        "mn AS (SELECT b.chunk_id, b.own, b.pos, b.stop, b.kind, b.name, min(x.pos) AS nxt, b.pos = min(b.pos) OVER (PARTITION BY b.chunk_id, b.own) AS heads FROM mb b LEFT JOIN mb x ON x.chunk_id = b.chunk_id AND x.own = b.own AND x.pos > b.stop GROUP BY 1, 2, 3, 4, 5, 6)",
+        walk.format(w="mw", t="mn", more=", own", nmore=", n.own", on=" AND p.own = mw.own", non=" AND n.own = p.own"),
+        "ms AS (SELECT mw.*, e.z - s.z + length(s.line) AS n FROM mw JOIN cm s USING (chunk_id, pos) JOIN cm e ON e.chunk_id = mw.chunk_id AND e.pos = mw.stop)",
+        "sp AS (SELECT * FROM big WHERE EXISTS (SELECT 1 FROM ms WHERE ms.chunk_id = big.chunk_id AND ms.own = big.pos))",
+        f"cr AS (SELECT *, {rest} (SELECT sp.chunk_id, sp.kind, sp.name, sp.pos, sp.stop, string_agg(line, chr(10) ORDER BY cm.pos) AS text FROM sp JOIN cm ON cm.chunk_id = sp.chunk_id AND cm.pos BETWEEN sp.pos AND sp.stop WHERE NOT EXISTS (SELECT 1 FROM ms WHERE ms.chunk_id = cm.chunk_id AND cm.pos BETWEEN ms.pos AND ms.stop) GROUP BY 1, 2, 3, 4, 5))",
+        "fl AS (SELECT chunk_id, pos, line, pos - row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS grp FROM cm WHERE NOT EXISTS (SELECT 1 FROM tw WHERE tw.chunk_id = cm.chunk_id AND cm.pos BETWEEN tw.pos AND tw.stop))",
+        f"fr AS (SELECT *, {rest} (SELECT chunk_id, min(pos) AS pos, max(pos) AS stop, string_agg(line, chr(10) ORDER BY pos) AS text FROM fl GROUP BY chunk_id, grp))",
+        f"""al AS (SELECT chunk_id, kind, name, pos, stop, n FROM tb WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.chunk_id = tb.chunk_id AND sp.pos = tb.pos)
+            UNION ALL SELECT chunk_id, kind, name, pos, stop, n FROM ms UNION ALL SELECT chunk_id, kind, name, pos, stop, n FROM cr WHERE {kept} UNION ALL SELECT chunk_id, 'module', NULL, pos, stop, n FROM fr WHERE {kept})""",
+        "wh AS (SELECT * FROM al UNION ALL SELECT chunk_id, 'module', NULL, 0, length(content) - length(replace(content, chr(10), '')), length(content) FROM src WHERE chunk_id NOT IN (SELECT chunk_id FROM al))",
+        recursive=True,
+    ) + "SELECT DISTINCT chunk_id, kind AS chunk_type, name, CAST(pos + 1 AS INT) AS start_line, CAST(stop + 1 AS INT) AS end_line, CAST(ceil(n / 3.5) AS BIGINT) AS token_count FROM wh"
+
+
+@query(_chunker_sql())
 def chunk_code(spark, folder):
     """Every stored content cut into chunks again, by its file's language; only contents travel to their file, once."""
     chunks = table(spark, folder, "chunks").filter("chunk_id is not null").select("chunk_id", "file_id", "content").join(_files(spark, folder).select("file_id", "language"), "file_id")
@@ -636,42 +693,6 @@ def chunk_code(spark, folder):
     return made.select(F.col("file_id").alias("chunk_id"), "chunk_type", "name", "start_line", "end_line", "token_count").distinct()
 
 
-#: Literal sources and the chunks that the rules of the chunker give for them.
-_GOLDENS = {
-    "chunk_brace": [
-        (1, "js", "import { http } from './http';\nconst RETRIES = 3;\n\nexport async function login(user, pass) {\n  if (!user) {\n    throw new Error('x');\n  }\n  return http(user, pass);\n}", [("arrow", "RETRIES", 2, 9)]),
-        (2, "js", "function add(a, b) {\n  return a + b;\n}\n\nconst one = () => 1;", [("function", "add", 1, 3)]),
-        (3, "rs", "pub struct P {\n    x: i32,\n}\n\nimpl P {\n    pub fn get(&self) -> i32 {\n        self.x\n    }\n}", [("struct", "P", 1, 3), ("impl", "P", 5, 9)]),
-        (4, "java", "import java.util.List;\npublic class T {\n  public int id() {\n    return 1;\n  }\n}", [("class", "T", 2, 6)]),
-    ],
-    "chunk_indent": [(1, "py", "import os\n\ndef load(path):\n    with open(path) as f:\n        return f.read()\n\nclass Store:\n    def get(self):\n        return 1", [("function", "load", 3, 6), ("class", "Store", 7, 9)])],
-    "chunk_container_split": [(1, "ts", "class Big {\n  a() {\n    // " + "x" * 900 + "\n    return 1;\n  }\n  b() {\n    // " + "y" * 900 + "\n    return 2;\n  }\n}", [("method", "a", 2, 5), ("method", "b", 6, 9)])],
-}
-
-
-def _golden(name: str) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        sources = spark.createDataFrame([row[:3] for row in _GOLDENS[name]], "file_id long, language string, content string")
-        return chunking.chunk_files(sources).select("file_id", "chunk_type", "name", "start_line", "end_line")
-
-    run.__name__ = name
-    return run
-
-
-for _name, _rows in _GOLDENS.items():
-    _values = ", ".join(f"({i}, '{kind}', '{label}', {a}, {b})" for i, _, _, chunks in _rows for kind, label, a, b in chunks)
-    query(f"SELECT CAST(file_id AS BIGINT) AS file_id, chunk_type, name, start_line, end_line FROM (VALUES {_values}) AS t(file_id, chunk_type, name, start_line, end_line)")(_golden(_name))
-
-
-@query()
-def source_scan(spark, folder):
-    """The Python files of this package, read by the project-tree source."""
-    spark.dataSource.register(ProjectTree)
-    root = str(Path(__file__).resolve().parent.parent)
-    scan = spark.read.format("projtree").options(path=root, extensions="py", ignoreRegex=globs.glob_regex("**/__pycache__/**")).load()
-    return scan.select("path", "language", "size_bytes", T.content_hash(F.col("content")).alias("hash"))
-
-
 def queries() -> dict[str, Query]:
     """The queries by name."""
     return dict(_QUERIES)

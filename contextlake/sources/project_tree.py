@@ -40,9 +40,11 @@ class ProjectReader(DataSourceReader):
         self.most_files = int(options.get("maxfiles", 50_000))
         joined = "|".join(p for p in options.get("ignoreregex", "").split("\n") if p)
         self.ignore = re.compile(joined, re.I) if joined else None
+        self.texts = [t for t in options.get("ignoretext", "").split("\n") if t]
+        self.skipped = {d for d in options.get("skipdirs", "").split(",") if d}
 
     def _kept(self, path: str) -> bool:
-        return not (self.ignore and self.ignore.search(path))
+        return not (self.ignore and self.ignore.search(path)) and not any(t in path for t in self.texts)
 
     def listing(self) -> list[tuple[str, int, float]]:
         """Path, size and time of the files to read, by path; folders that are ignored aren't entered."""
@@ -52,7 +54,7 @@ class ProjectReader(DataSourceReader):
         for folder, names, files in os.walk(os.path.join(self.root, self.sub), onerror=None):
             inside = os.path.relpath(folder, self.root).replace(os.sep, "/")
             inside = "" if inside == "." else inside + "/"
-            names[:] = sorted(n for n in names if self._kept(inside + n) and self._kept(inside + n + "/"))
+            names[:] = sorted(n for n in names if n not in self.skipped and self._kept(inside + n) and self._kept(inside + n + "/"))
             for name in files:
                 path = inside + name
                 if self.extensions and os.path.splitext(name)[1][1:].lower() not in self.extensions or not self._kept(path):
@@ -86,7 +88,8 @@ class ProjectReader(DataSourceReader):
 
 
 class ProjectTree(DataSource):
-    """``spark.read.format("projtree")``; options path, subPath, extensions, maxFileSize, maxFiles, ignoreRegex."""
+    """``spark.read.format("projtree")``; options path, subPath, extensions, maxFileSize, maxFiles, and what to leave out:
+    ignoreRegex (patterns, a line each), ignoreText (parts of paths, a line each) and skipDirs (names of directories)."""
 
     @classmethod
     def name(cls) -> str:

@@ -9,6 +9,7 @@ import pytest
 from contextlake.config import deep_merge, load_config
 from contextlake.embedding import HashingEmbedder, embed_new, make_embedder
 from contextlake.engine import Engine
+from contextlake.sources.project_tree import ProjectTree, missing
 
 
 def _project(root):
@@ -68,6 +69,17 @@ def test_actions(engine, tmp_path):
         engine.restore("none")
 
 
+def test_source_options(spark, tmp_path):
+    _project(tmp_path)
+    spark.dataSource.register(ProjectTree)
+    read = lambda **o: {r.path for r in spark.read.format("projtree").options(path=str(tmp_path), **o).load().select("path").collect()}
+    assert read(extensions="js,py") == {"src/auth.js", "src/lib/http.js", "src/_util.py", "node_modules/x.js"}
+    assert read(extensions="js", skipDirs="node_modules,lib") == {"src/auth.js"} and read(ignoreText="lib/\nmodules") == {"src/auth.js", "src/_util.py", "notes.md"}
+    assert read(maxFiles="1") == {"node_modules/x.js"} and read(subPath="src/lib") == {"src/lib/http.js"} and read(maxFileSize="40") == {"src/_util.py", "node_modules/x.js", "notes.md"}
+    stored = spark.createDataFrame([("notes.md", 1), ("gone.md", 2), (None, 3)], "path string, file_id long")
+    assert [r.file_id for r in missing(stored, str(tmp_path)).collect()] == [2]
+
+
 def test_uri_migration_and_settings(spark, tmp_path):
     _project(tmp_path / "p")
     settings = {"project_dir": str(tmp_path / "p"), "data_dir": f"file://{tmp_path}/d", "embedding": {"enabled": True}, "indexing": {"token_multiplier": 1.0}, "search": {"k1": 0.0}}
