@@ -28,7 +28,10 @@ from contextlake.session import spread
 HEAD_LINES = 6
 
 #: Directories that package managers and projects use for copies of third-party code.
-VENDOR_DIRS = ["vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "node_modules", "bower_components", "site-packages", "external", "extern", "deps"]
+VENDOR_DIRS = ["vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "node_modules", "bower_components", "site-packages"]
+#: Directories that hold such copies, one folder each, where they stand beside the project's own sources; beneath
+#: these they may as well be the project's own.
+SIDE_DIRS, SOURCE_DIRS = ["external", "extern", "deps"], ["src", "lib", "app", "source", "sources", "test", "tests"]
 #: Directories that build tools write generated sources to.
 GENERATED_DIRS = ["__generated__", "generated", "generated-sources", "autogen", "gen"]
 #: Endings of names that generators, bundlers and package managers give.
@@ -43,7 +46,7 @@ MINIFIED_STATEMENTS, MINIFIED_WIDTH = 6.0, 150.0
 #: The share of code characters in literals from which on a file is data.
 DATA_SHARE = 0.7
 #: Distinct runs of three line forms to a line up to which code is generated: on its own, from so many lines on; and
-#: with a notice, place or name that says so.
+#: with a notice, place or name that says so. Fewer lines repeat themselves by chance, so they say nothing on their own.
 UNIFORM, UNIFORM_LINES, UNIFORM_BACKED = 0.42, 20, 0.55
 
 _STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`")
@@ -139,6 +142,11 @@ def _inside(path: Column, names: list[str]) -> Column:
     return F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, names)))
 
 
+def _beside(path: Column) -> Column:
+    """Whether ``path`` leads through one of ``SIDE_DIRS``, and a folder in it, without one of ``SOURCE_DIRS`` before."""
+    return path.rlike(rf"^(?:(?!(?:{'|'.join(SOURCE_DIRS)})/)[^/]+/)*(?:{'|'.join(SIDE_DIRS)})/[^/]+/.")
+
+
 def file_origins(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows (file_id, path, origin) of all files: origin is vendored, lock, minified, data, generated or authored.
 
@@ -157,7 +165,7 @@ def file_origins(files: DataFrame, chunks: DataFrame) -> DataFrame:
     layout = F.greatest("layout", F.lit(1))
     dense = (F.col("statements") / layout >= MINIFIED_STATEMENTS) & (F.col("chars") / layout >= MINIFIED_WIDTH)
     origin = (
-        F.when(_inside(where, VENDOR_DIRS) | (code & (F.coalesce("foreign", F.lit(0)) > 0)), "vendored")
+        F.when(_inside(where, VENDOR_DIRS) | _beside(where) | (code & (F.coalesce("foreign", F.lit(0)) > 0)), "vendored")
         .when(where.rlike(LOCK_NAME), "lock")
         .when(code & (dense | (empty & where.rlike(MINIFIED_NAME))), "minified")
         .when(code & (F.col("literal") / F.greatest("code", F.lit(1)) >= DATA_SHARE), "data")

@@ -43,6 +43,11 @@ def test_origins(spark):
         12: (None, HAND, "authored"),
         13: ("src/x.min.js", None, "minified"),
         14: ("src/g.js", "", "authored"),
+        16: ("src/deps/a.js", HAND, "authored"),
+        17: ("p/app/external/api/a.js", HAND, "authored"),
+        18: ("p/deps/a.js", HAND, "authored"),
+        19: ("packages/p/deps/oak/lib/a.js", HAND, "vendored"),
+        20: ("src/i.js", "\n".join(GENERATED.split("\n")[:19]), "authored"),
         15: ("src/h.js", HAND + "const table = [1, 2, 3, 4, 5, 6, 7, 8];\nconst key = '" + "x" * 200 + "';\n" + HAND, "authored"),
     }
     rows = [(i, p, D) for i, (p, _, _) in files.items()] + [(1, "src/old.min.js", None), (2, "src/b.js", D), (None, "x", D)]
