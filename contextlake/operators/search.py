@@ -100,13 +100,13 @@ def document_frequency(corpus: DataFrame, terms: Sequence[str], text: str = "sea
     return stats.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"df_{i}").cast("bigint").alias("df"), F.col("n").cast("bigint").alias("n")) for i, t in enumerate(terms)])).alias("x")).select("x.*")
 
 
-def like_all(chunks: DataFrame, query: str, limit: int = TOP_K, text: str = "search_text", keep: Sequence[str] = ("name",)) -> DataFrame:
-    """The cheapest chunks (chunk_id, token_count, ``keep``) whose text is LIKE every word of the query; ``%`` and ``_`` in
+def like_all(chunks: DataFrame, query: str, limit: int = TOP_K, text: str = "search_text", keep: Sequence[str] | None = None) -> DataFrame:
+    """The cheapest chunks (chunk_id, token_count, ``keep``, by default all columns but the text) whose text is LIKE every word of the query; ``%`` and ``_`` in
     words are wildcards. Rows that repeat a chunk_id count once; only rows that match are compared or shuffled, and
     without their text."""
     words = query.lower().split()
     found = chunks.filter(reduce(lambda a, b: a & b, [F.lower(F.col(text)).like(f"%{w}%") for w in words]) if words else F.lit(False))
-    found = current_chunks(found, "token_count", *keep)
+    found = current_chunks(found, "token_count", *([c for c in chunks.columns if c not in ("chunk_id", "token_count", text)] if keep is None else keep))
     return found.orderBy(F.col("token_count").asc_nulls_first(), "chunk_id").limit(max(0, limit))
 
 

@@ -29,7 +29,7 @@ def expired(catalogue: DataFrame, now: datetime.datetime, max_age_days: int = MA
     return catalogue.withColumn("old", old).withColumn("rn", F.row_number().over(newest)).filter(F.col("old") | (F.col("rn") > max_count)).drop("old", "rn")
 
 
-def search_snapshot(chunks: DataFrame, snapshot_id: str, query: str, limit: int = 10, keep: Sequence[str] = ("name",)) -> DataFrame:
+def search_snapshot(chunks: DataFrame, snapshot_id: str, query: str, limit: int = 10, keep: Sequence[str] | None = None) -> DataFrame:
     """The chunks of a snapshot that hold every word of the query, with the snapshot's id; none for a blank query."""
     found = like_all(chunks, strip_text(query), limit, keep=keep).orderBy("chunk_id")
     return found.withColumn("backup_id", F.lit(snapshot_id))

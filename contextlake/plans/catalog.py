@@ -258,7 +258,7 @@ def bm25_prefetch(spark, folder):
 
 @query(_with(_CC) + "SELECT chunk_id, name, token_count FROM cc WHERE lower(search_text) LIKE '%token%' AND lower(search_text) LIKE '%pl_n%' ORDER BY token_count NULLS FIRST, chunk_id LIMIT 10")
 def like_and_search(spark, folder):
-    return search.like_all(table(spark, folder, "chunks"), "Token pl_n").select("chunk_id", "name", "token_count")
+    return search.like_all(table(spark, folder, "chunks"), "Token pl_n", keep=("name",)).select("chunk_id", "name", "token_count")
 
 
 _VEC = "vc AS (SELECT chunk_id, min(embedding) AS embedding FROM vec_chunks WHERE chunk_id IS NOT NULL GROUP BY 1)"
@@ -514,7 +514,7 @@ def snapshot_gc(spark, folder):
 )
 def snapshot_search(spark, folder):
     then = table(spark, folder, "chunks").filter(F.col("created_at") < F.lit(SNAPSHOT_TIME).cast("timestamp_ntz"))
-    found = snapshots.search_snapshot(then, "then", " record map ")
+    found = snapshots.search_snapshot(then, "then", " record map ", keep=("name",))
     return found.select("chunk_id", "name", "token_count", "backup_id")
 
 

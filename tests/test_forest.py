@@ -2,9 +2,8 @@
 
 import random
 
-import pytest
-
 from contextlake.operators import forest
+from contextlake.session import cut
 
 
 def _walk(parent, node):
@@ -18,27 +17,26 @@ def _walk(parent, node):
     return now, depth
 
 
-def _case(kind):
+def _cases():
+    """A chain, a star, cycles and random trees, side by side."""
     rng = random.Random(7)
-    if kind == "chain":
-        return {i + 1: i for i in range(70)}
-    if kind == "star":
-        return {i: 0 for i in range(1, 60)}
-    if kind == "cycles":
-        return {1: 1, 2: 1, 3: 2, 10: 11, 11: 12, 12: 10, 13: 12, 20: 19, 21: 20}
-    return {i: rng.randrange(i) for i in range(1, 90)} | {100: 101, 101: 100, 102: 100}
+    parent = {i + 1: i for i in range(70)}
+    parent |= {1000 + i: 1000 for i in range(1, 60)}
+    parent |= {2000 + c: 2000 + p for c, p in {1: 1, 2: 1, 3: 2, 10: 11, 11: 12, 12: 10, 13: 12, 20: 19, 21: 20}.items()}
+    parent |= {3000 + i: 3000 + rng.randrange(i) for i in range(1, 90)} | {3100: 3101, 3101: 3100, 3102: 3100}
+    # Children of one parent in several parts of ids, negative ones among them.
+    return parent | {4000: 5, 400_000: 4000, -70_000: 4000, 400_001: 4000, 400_002: 400_000}
 
 
-@pytest.mark.parametrize("kind", ["chain", "star", "cycles", "random"])
-def test_trees(spark, kind):
-    parent = _case(kind)
+def test_trees(spark):
+    parent = _cases()
     pairs = [(p, c) for c, p in parent.items()]
     edges = spark.createDataFrame(pairs + pairs[:3] + [(None, 5), (6, None)], "p long, c long")
-    chained = forest.chains(forest.links(edges, "p", "c")).toPandas()
+    frame = cut(forest.chains(forest.links(edges, "p", "c")))
+    chained = frame.toPandas()
     nodes = set(parent) | set(parent.values())
     assert set(chained.node) == nodes and len(chained) == len(nodes)
     assert {n: (r, d) for n, r, d in zip(chained.node, chained.root, chained.depth)} == {n: _walk(parent, n) for n in nodes}
-    frame = spark.createDataFrame(chained.astype({"parent": "Int64"}).where(chained.notna(), None).values.tolist() and [tuple(None if v != v else int(v) for v in row) for row in chained.astype(float).values.tolist()], ", ".join(f"{c} long" for c in chained.columns))
     paths = {r.node: r.path for r in forest.paths(frame).collect()}
     for node in nodes:
         if _walk(parent, node)[0] == -1:
@@ -49,11 +47,16 @@ def test_trees(spark, kind):
             up.append(parent[up[-1]])
         assert paths[node] == up[::-1]
     at = {(r.root, r.first): r.node for r in chained.itertuples() if r.root != -1}
-    below = {(r.node, r.descendant) for r in forest.descendants(frame).collect()}
+    below: dict[int, dict[int, int]] = {}
+    for r in forest.descendants(frame).collect():
+        assert r.descendant not in below.setdefault(r.node, {})
+        below[r.node][r.descendant] = r.distance
+    depth = dict(zip(chained.node, chained.depth, strict=True))
     for r in chained.itertuples():
         if r.root != -1:
             interval = {at[r.root, k] for k in range(r.first, r.last + 1)} - {r.node}
-            assert interval == {d for n, d in below if n == r.node} and r.size == len(interval) + 1
+            assert {d: depth[d] - r.depth for d in interval} == below.get(r.node, {}) and r.size == len(interval) + 1
+            assert all(r.node in paths[d] for d in interval)
 
 
 def test_empty(spark):
