@@ -78,9 +78,13 @@ def release(*tables: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give Python-heavy work one task per core at least; inputs with enough splits are left as they are."""
+    """Give Python-heavy work one task per core at least; inputs with enough splits are left as they are, and so are those
+    that come from a shuffle, as to know their partitions would be to run it."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    return df if plan.execute().getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def ship_package(spark: SparkSession) -> None:
