@@ -306,7 +306,7 @@ class Engine:
             top = store.most_accessed(store.known_accesses(self.table("access_log"), files)).select("file_id", "access_count")
             cheap = assembly.cheapest_chunks(placed.join(F.broadcast(top.select("file_id")), "file_id", "left_semi")).join(F.broadcast(top), "file_id")
             ranked = cheap.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("access_count").desc(), "file_id")))
-            out["spare"] = self._section(assembly.greedy_fill(ranked, left).orderBy("rank"))
+            out["spare"] = self._section(assembly.greedy_fill(cut(ranked), left).orderBy("rank"))
         self._log(query, active, out)
         files.unpersist()
         used = sum(tokens for _, tokens, _ in out.values())

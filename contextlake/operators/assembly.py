@@ -66,10 +66,11 @@ def greedy_fill(items: DataFrame, budget: int, tokens: str = "tokens", rank: str
 
     Null and negative sizes count as 0; such items take no room and are all kept. The others are taken in blocks of the
     ``FILL_BLOCK`` next ones that fit what is left, so the driver holds one block; as every block's first item is kept,
-    and each takes a token at least, what is kept is bounded by the budget and so may be broadcast.
+    and each takes a token at least, what is kept is bounded by the budget and so may be broadcast. ``items`` are read once
+    for each block, so they should be written before.
     """
     size = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("bigint")
-    items, kept, left, last = cut(items), [], budget, None
+    kept, left, last = [], budget, None
     while left > 0:
         fits = items.select(F.col(rank).cast("bigint").alias("rank"), size.alias("size")).filter(F.col("size").between(1, left))
         block = (fits if last is None else fits.filter(F.col("rank") > last)).orderBy("rank").limit(FILL_BLOCK).collect()

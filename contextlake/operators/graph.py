@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ IMPORT_PATTERNS = {
     "go": [r"""import\s+(?:\(\s*)?["']([^"']+)["']"""],
     "java": [r"import\s+(?:static\s+)?([A-Za-z0-9_.]+\.[A-Z][A-Za-z0-9_]*)", r"import\s+(?:static\s+)?([A-Za-z0-9_.]+)\.\*"],
 }
+#: What stands in every text that a pattern of the family matches, so that most texts needn't be searched.
+IMPORT_WORDS = {"js": ["import", "require"], "py": ["import"], "rs": ["crate::", "mod"], "go": ["import"], "java": ["import"]}
 #: The family of each file extension.
 FAMILIES = {"js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "js", "tsx": "js", "py": "py", "rs": "rs", "go": "go", "java": "java"}
 
@@ -38,7 +42,10 @@ def dep_type(target: Column, language: Column) -> Column:
 
 def found_targets(content: Column) -> Column:
     """The distinct non-empty import targets of a text in each family of languages: a map from family to targets."""
-    every = {f: F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in patterns]) for f, patterns in IMPORT_PATTERNS.items()}
+    every = {}
+    for family, patterns in IMPORT_PATTERNS.items():
+        worth = reduce(lambda a, b: a | b, [content.contains(w) for w in IMPORT_WORDS[family]])
+        every[family] = F.when(worth, F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in patterns])).otherwise(F.array().cast("array<string>"))
     return F.map_filter(F.create_map(*[x for f, found in every.items() for x in (F.lit(f), F.filter(F.array_distinct(found), lambda t: t != ""))]), lambda _, t: F.size(t) > 0)
 
 
@@ -75,7 +82,7 @@ def extract_chunk_imports(chunks: DataFrame, files: DataFrame) -> DataFrame:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``imports`` (from_path, target_path) with target_file_id: of relative targets the first candidate that exists,
     else null. ``files`` needs file_id, path and indexed_at with normal paths."""
-    based = imports.withColumn("base", F.when(_relative(F.col("target_path")), normal_path(F.concat(dirname(F.col("from_path")), F.lit("/"), F.col("target_path")))))
+    based = cut(imports.withColumn("base", F.when(_relative(F.col("target_path")), normal_path(F.concat(dirname(F.col("from_path")), F.lit("/"), F.col("target_path"))))))
     found = salted_left_join(based, resolve_relative(based, files), "base", ["from_path", "target_path"])
     return found.select(*imports.columns, F.col("found_id").alias("target_file_id"))
 

@@ -26,26 +26,24 @@ HOT_SHARE, SALTS = 0.001, 64
 IMPORT_ENDINGS = ["", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", ".java", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", "/index.mjs"]
 
 
-def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """The keys that more than ``share`` of the rows with a key hold; at most ``1 / share`` of them."""
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).filter(F.col("_n") > F.greatest(F.lit(1), F.col("_all") * share)).select(key)
+    hot = counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).filter(F.col("_n") > F.greatest(F.lit(1), F.col("_all") * share))
+    return [r[0] for r in hot.select(key).collect()]
 
 
-def salted_left_join(rows: DataFrame, keys: DataFrame, key: str, spread_by: list[str], hot: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
+def salted_left_join(rows: DataFrame, keys: DataFrame, key: str, spread_by: list[str], hot: list | None = None, salts: int = SALTS) -> DataFrame:
     """``rows`` with the columns of ``keys`` (one row for each ``key``), null where there is none.
 
-    ``hot`` (``key``, distinct) names the keys that many rows share, ``hot_keys`` by default, and is short enough to
-    broadcast by its definition. Rows with a null key stand by themselves, wherever a hash of ``spread_by`` puts them.
+    ``hot`` lists the keys that many rows share, ``hot_keys`` by default, and is short by its definition. Rows with a
+    null key stand by themselves, wherever a hash of ``spread_by`` puts them.
     """
-    marked = F.broadcast((hot_keys(rows, key) if hot is None else hot).select(key).withColumn("_hot", F.lit(True)))
-    anywhere = F.xxhash64(*spread_by)
-    salt = F.when(F.col(key).isNull(), anywhere).when(F.col("_hot"), F.pmod(anywhere, F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
-    dealt = rows.join(marked, key, "left").withColumn("_salt", salt).drop("_hot")
-    none = F.lit(0).cast("bigint")
-    copies = F.when(F.col("_hot"), F.sequence(none, none + (salts - 1))).otherwise(F.array(none))
-    repeated = keys.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return dealt.join(repeated, [key, "_salt"], "left").drop("_salt")
+    hot = hot_keys(rows, key) if hot is None else hot
+    anywhere, none, is_hot = F.xxhash64(*spread_by), F.lit(0).cast("bigint"), F.col(key).isin(hot) if hot else F.lit(False)
+    salt = F.when(F.col(key).isNull(), anywhere).when(is_hot, F.pmod(anywhere, F.lit(salts))).otherwise(none)
+    copies = F.explode(F.when(is_hot, F.sequence(none, none + (salts - 1))).otherwise(F.array(none))) if hot else none
+    return rows.withColumn("_salt", salt).join(keys.withColumn("_salt", copies), [key, "_salt"], "left").drop("_salt")
 
 
 def key_flags(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -94,24 +92,26 @@ def faulty_references(dependencies: DataFrame, files: DataFrame, removed_files:
     null target_paths, are at no fault. Of several target ids of one reference the smallest non-null one counts. Dirty
     paths are compared in normal form; a source without a path counts as one at the root.
     """
-    refs = cut(dependencies.groupBy("source_file_id", "target_path").agg(F.min("target_file_id").alias("target_file_id")))
+    refs = dependencies.groupBy("source_file_id", "target_path").agg(F.min("target_file_id").alias("target_file_id"))
     latest = cut(_latest_files(files).withColumn("path", normal_path(F.col("path"))))
 
     child = lambda c: dependencies.filter(F.col(c).isNotNull()).select(F.lit(_BY_ID).alias("parent_table"), F.col(c).alias("key"))
     file_keys = latest.select(F.lit(_BY_ID).alias("parent_table"), F.col("file_id").alias("key"), F.lit(_FILE).alias("flag"), F.col("file_id").alias("id"), F.col("indexed_at").alias("at"))
     gone = removed_files.filter("file_id is not null").select(F.lit(_BY_ID).alias("parent_table"), F.col("file_id").alias("key"), F.lit(_REMOVED).alias("flag"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("timestamp").alias("at"))
     flags = key_flags(child("source_file_id").unionByName(child("target_file_id")), file_keys.unionByName(gone)).filter("n_children > 0")
-    lacking = cut(flags.filter(F.col("flags").bitwiseAND(_FILE) == 0).select("key", "flags"))
+    flags = cut(flags.select("key", "n_children", "flags"), all=F.sum("n_children"))
+    hot = [r.key for r in flags.filter(F.col("n_children") > max(1, (flags.observed["all"] or 0) * HOT_SHARE)).select("key").collect()]
+    lacking = flags.filter(F.col("flags").bitwiseAND(_FILE) == 0)
 
     by_source = lacking.select(F.col("key").alias("source_file_id"), F.lit(True).alias("lost"))
-    known = salted_left_join(refs, by_source, "source_file_id", ["target_path"]).withColumn("lost", F.col("lost").isNotNull() | F.col("source_file_id").isNull())
+    known = salted_left_join(refs, by_source, "source_file_id", ["target_path"], hot).withColumn("lost", F.col("lost").isNotNull() | F.col("source_file_id").isNull())
     by_target = lacking.select(F.col("key").alias("target_file_id"), F.col("flags").alias("target_flags"))
-    known = salted_left_join(known, by_target, "target_file_id", ["source_file_id", "target_path"])
+    known = salted_left_join(known, by_target, "target_file_id", ["source_file_id", "target_path"], hot)
     relative = F.col("target_file_id").isNull() & F.col("target_path").rlike(r"^\.\.?/")
     # Only these can be at fault, and only these need to know their source.
     asked = known.filter(F.col("lost") | F.col("target_flags").isNotNull() | relative)
     sources = latest.select(F.col("file_id").alias("source_file_id"), F.col("path").alias("source_path"), F.col("indexed_at").cast("timestamp").alias("source_at"))
-    asked = salted_left_join(asked, sources, "source_file_id", ["target_path"])
+    asked = salted_left_join(asked, sources, "source_file_id", ["target_path"], hot)
     base = normal_path(F.concat(dirname(F.coalesce("source_path", F.lit(""))), F.lit("/"), F.col("target_path")))
     asked = cut(asked.withColumn("base", F.when(relative & ~F.col("lost"), base)))
     every = salted_left_join(asked, resolve_relative(asked, latest), "base", ["source_file_id", "target_path"])

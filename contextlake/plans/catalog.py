@@ -601,7 +601,7 @@ def _spare(spark: SparkSession, folder: str, budget: int) -> DataFrame:
     chunks = _chunks(spark, folder, "file_id", "start_line", "token_count").join(F.broadcast(top.select("file_id")), "file_id", "left_semi")
     cheap = assembly.cheapest_chunks(chunks).join(F.broadcast(top), "file_id").withColumn("tokens", F.greatest(F.coalesce("token_count", F.lit(0)), F.lit(0)).cast("bigint"))
     ranked = cheap.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("access_count").desc(), "file_id")))
-    return assembly.greedy_fill(ranked, budget)
+    return assembly.greedy_fill(cut(ranked), budget)
 
 
 @query(_with(_CF, _CC, _LOG, *_L4, _greedy_sql("l4", 60), recursive=True) + "SELECT CAST(l4.rank AS INTEGER) AS rank, chunk_id, file_id, tokens, access_count FROM l4 JOIN gr ON gr.rank = l4.rank WHERE gr.kept")
